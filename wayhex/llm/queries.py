@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, sharding
+from . import containment, language, media, packing, sharding
 
 
 def vocabulary(name: str) -> str:
@@ -31,9 +31,17 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "known")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_external_shuffle, op3_media_columns, op9_best_fit_packing)}
+def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_external_shuffle, op3_media_columns, op5_language_filters, op9_best_fit_packing, op10_minhash_containment)}
 ORACLE_SQL: dict[str, str] = {}
