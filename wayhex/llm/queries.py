@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard, language, media, packing, sharding
+from . import containment, jaccard, language, media, packing, repeats, sharding
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +39,11 @@ def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "known")
 
 
+def op7_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
@@ -47,5 +52,5 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_external_shuffle, op3_media_columns, op5_language_filters, op9_best_fit_packing, op10_minhash_containment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_external_shuffle, op3_media_columns, op5_language_filters, op7_long_repeats, op9_best_fit_packing, op10_minhash_containment)}
 ORACLE_SQL: dict[str, str] = {}
