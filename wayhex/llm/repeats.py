@@ -133,17 +133,19 @@ def reach(keys: list, left: list[bytes], right: list[bytes], length: int) -> tup
 
 
 def groups(keys: list, left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, np.ndarray]]:
-    """Repeat groups (bytes before, bytes after, members): in each node the maximal runs that share at least ``length`` bytes.
+    """The maximal repeats of at least ``length`` bytes through the anchors: (bytes before, bytes after, members).
 
-    A run's left extension ends where its members' preceding bytes differ, its right one where the node's do.
+    Within a node, whose members differ in what follows, the intervals of the left order are the sets whose left extensions part
+    at one place; those whose members all go on alike to the right belong to a deeper node.
     """
     out: list[tuple[int, int, np.ndarray]] = []
 
     def found(depth: int, members: np.ndarray, shared: np.ndarray) -> None:
-        apart = np.flatnonzero(shared < length - depth)
-        for a, b in zip(np.concatenate(([0], apart + 1)), np.concatenate((apart, [len(shared)]))):
-            if b > a:
-                out.append((int(shared[a:b].min()), depth, members[a : b + 1]))
+        for before, first, last in [*intervals([0, *shared.tolist()]), *([(0, 0, len(shared))] if not shared.min() else [])]:
+            own = members[first : last + 1]
+            after = {right[i][depth : depth + 1] for i in own}
+            if before + depth >= length and (len(after) > 1 or b"" in after):
+                out.append((before, depth, own))
 
     scan(keys, left, right, length, found)
     return out
@@ -232,6 +234,22 @@ def _counted(bodies: DataFrame, length: int, gram: int) -> DataFrame:
     return own.join(twice, key).groupBy("k", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
 
 
+def _parted(bodies: DataFrame, length: int, gram: int, most_contexts: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of large groups in smaller ones that lose no repeat, by size: (k, ctx, l, body).
+
+    Where two contexts share ``length`` bytes through the anchor, they share at least ``left`` bytes before it or ``right`` from
+    it on, where these make up ``length``. So one group for each such part will do; contexts alone in theirs have no repeat.
+    """
+    left = (length - gram) // 2
+    right = length - left
+    before = F.when(F.col("l") >= left, F.xxhash64("k", F.lit(0), F.col("body").substr(F.col("l") - left + 1, F.lit(left))))
+    after = F.when(F.octet_length("body") - F.col("l") >= right, F.xxhash64("k", F.lit(1), F.col("body").substr(F.col("l") + 1, F.lit(right))))
+    parts = bodies.select(F.explode(F.array_compact(F.array(before, after))).alias("g"), "k", "ctx", "l", "body")
+    sizes = parts.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    parts = parts.join(sizes, "g").select(F.col("g").alias("k"), "ctx", "l", "body", "m")
+    return parts.filter(F.col("m") <= most_contexts).drop("m"), parts.filter(F.col("m") > most_contexts).drop("m")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(rid, k, start, end) of docs (rid, _text): spans of at least ``length`` bytes that occur anywhere else too, with their anchor's gram."""
     found = written(_contexts(docs, length, gram), "anchors")
@@ -241,10 +259,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     contexts = written(contexts.join(sizes, "k"), "contexts")
     same = contexts.filter(f"n > 1 and l + r >= {length}").select("k", "ctx", F.col("l").cast("long").alias("before"), F.col("r").cast("long").alias("after"))
     several = contexts.filter(F.col("m").between(2, most_contexts))
-    most = contexts.filter(F.col("m") > most_contexts)
     reached = same.unionAll(_reached(_bodies(several, docs), length))
+    most = contexts.filter(F.col("m") > most_contexts)
     if not most.isEmpty():
-        reached = reached.unionAll(_counted(_bodies(most, docs), length, gram))
+        small, large = _parted(written(_bodies(most, docs), "bodies"), length, gram, most_contexts)
+        both = _reached(small, length).unionAll(_counted(large, length, gram))
+        reached = reached.unionAll(both.drop("k").join(most.select("k", "ctx"), "ctx").select("k", "ctx", "before", "after"))
     reached = reached.groupBy("k", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     return found.select("k", "ctx", "rid", "at").join(reached, ["k", "ctx"]).select("rid", "k", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
 
