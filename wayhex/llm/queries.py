@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard, language, media, packing, repeats, sharding
+from . import containment, jaccard, language, licenses, lines, media, packing, repeats, sharding, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -35,15 +35,30 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_payloads(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.by_line(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "known")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep_ids=False)
 
@@ -52,5 +67,5 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_external_shuffle, op3_media_columns, op5_language_filters, op7_long_repeats, op9_best_fit_packing, op10_minhash_containment)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_external_shuffle, op3_media_columns, op4_token_counts, op5_language_filters, op6_license_scan, op7_long_repeats, op8_line_spread, op9_best_fit_packing, op10_minhash_containment)}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op8_line_spread": lines.ORACLE_SQL}
