@@ -1,17 +1,74 @@
-"""The corpus pipeline: each stage works on what its predecessor kept."""
+"""The corpus pipeline: each stage works on what its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. Rows are matched by doc_id, null ids included: rows that share an id share their fate.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayhex.llm import containment, jaccard, language, lines, packing
+from wayhex.llm.queries import vocabulary
+from wayhex.llm.storage import written
+
+#: Language ID rejects a document if it is less sure than this of every language: a smaller share of its n-grams is known.
+LEAST_KNOWN = 0.2
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose doc_id is (left_semi) or isn't (left_anti) in the first column of ids."""
+    own = ids.select(F.col(ids.columns[0]).alias("_id"))
+    return docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]), how)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters, or in no language that was learned, go."""
+    found = language.identify(docs)
+    return _only(docs, found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("known") >= LEAST_KNOWN)), "left_semi")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go from texts; documents stay."""
+    out = lines.remove_boilerplate(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id stays."""
+    found = jaccard.jaccard_join(docs)
+    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _only(docs, containment.contained(docs, items), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces, with their ids."""
+    return packing.pack_documents(docs, vocabulary(VOCABULARY))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack_sequences),
+]
 #: SQL can't express the stages; tests/llm holds the pipeline against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents."""
+    """The stages one after another over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, "stage")
     return docs
