@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..config import MemoryConfig
 from ..functions import cells
-from ..functions.scalars import cosine, hash60
+from ..functions.scalars import hash60
+from ..functions.vectors import cosine, cosines
 from . import sketch
 from .slots import assign_slots
 
@@ -85,9 +86,33 @@ def exemplars(mem: Memory, size: int | None = None) -> DataFrame:
     return keyed.withColumn("pick", pick).filter(F.col("pick") <= size).drop("_key")
 
 
-def score(bank: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every exemplar (…, vec) against every query (qid, qvec): sim is null-free, vectors that don't fit are skipped. The query set is broadcast."""
-    return bank.crossJoin(F.broadcast(queries)).withColumn("sim", F.round(cosine(F.col("vec"), F.col("qvec")), 9)).filter("sim is not null").drop("vec", "qvec")
+QUERY_BLOCK = 256
+
+
+def score(bank: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Every exemplar (…, vec) against every query (qid, qvec): the bank's columns without vec, and qid, sim. Vectors that don't fit are skipped.
+
+    The query set comes to the driver a block at a time and goes out with a matrix product over the bank; no join pairs rows.
+    """
+    found = None
+    rows: list = []
+
+    def with_block(done: DataFrame | None) -> DataFrame:
+        ids = F.lit([r["qid"] for r in rows])
+        sims = F.posexplode(cosines(F.col("vec"), [r["qvec"] for r in rows])).alias("_q", "sim")
+        keep = [c for c in bank.columns if c != "vec"]
+        part = bank.select(*keep, sims).filter("sim is not null").select(*keep, F.get(ids, F.col("_q")).cast(queries.schema["qid"].dataType).alias("qid"), F.round("sim", 9).alias("sim"))
+        return part if done is None else done.unionAll(part)
+
+    for r in queries.select("qid", "qvec").toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            found, rows = with_block(found), []
+    if rows:
+        found = with_block(found)
+    if found is None:
+        return bank.drop("vec").limit(0).withColumn("qid", F.lit(None).cast(queries.schema["qid"].dataType)).withColumn("sim", F.lit(None).cast("double"))
+    return found
 
 
 def rank_hits(scored: DataFrame, top: int, cap: int = 1, time: str = "ts") -> DataFrame:
