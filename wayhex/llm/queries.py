@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard, language, licenses, lines, media, packing, repeats, sharding, token_counts
+from . import containment, jaccard, language, licenses, lines, media, packing, repeats, sharding, sql, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -68,4 +68,4 @@ def op10_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_external_shuffle, op3_media_columns, op4_token_counts, op5_language_filters, op6_license_scan, op7_long_repeats, op8_line_spread, op9_best_fit_packing, op10_minhash_containment)}
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": licenses.oracle_sql(), "op8_line_spread": lines.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": sql.JACCARD, "op10_minhash_containment": sql.CONTAINMENT, "op6_license_scan": licenses.oracle_sql(), "op8_line_spread": lines.ORACLE_SQL}
