@@ -163,8 +163,8 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _bodies(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """(k, ctx, l, body) of wanted (k, ctx, rid, at, l, r)."""
-    each = wanted.groupBy("rid").agg(F.collect_list(F.struct("k", "ctx", "at", "l", "r")).alias("a"))
+    """(k, ctx, l, body, m) of wanted (k, ctx, rid, at, l, r, m). This is where texts are shuffled, so it is done once for groups of any size."""
+    each = wanted.groupBy("rid").agg(F.collect_list(F.struct("k", "ctx", "at", "l", "r", "m")).alias("a"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text", 1 << 20):
@@ -172,13 +172,13 @@ def _bodies(wanted: DataFrame, rows: DataFrame) -> DataFrame:
             lists = b.column(1)
             flat = lists.flatten()
             base = np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy()))
-            k, ctx, at, left, right = (flat.field(i) for i in range(5))
+            k, ctx, at, left, right, m = (flat.field(i) for i in range(6))
             at = at.to_numpy() + base
             body = data.tobytes()
             texts = [body[i:j] for i, j in zip((at - left.to_numpy()).tolist(), (at + right.to_numpy()).tolist())]
-            yield pa.RecordBatch.from_arrays([k, ctx, left, pa.array(texts, pa.binary())], ["k", "ctx", "l", "body"])
+            yield pa.RecordBatch.from_arrays([k, ctx, left, pa.array(texts, pa.binary()), m], ["k", "ctx", "l", "body", "m"])
 
-    return rows.join(each, "rid").select("_text", "a").mapInArrow(extract, "k long, ctx long, l int, body binary")
+    return rows.join(each, "rid").select("_text", "a").mapInArrow(extract, "k long, ctx long, l int, body binary, m long")
 
 
 def _reached(bodies: DataFrame, length: int) -> DataFrame:
@@ -258,13 +258,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     sizes = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).filter("total > 1").select("k", "m")
     contexts = written(contexts.join(sizes, "k"), "contexts")
     same = contexts.filter(f"n > 1 and l + r >= {length}").select("k", "ctx", F.col("l").cast("long").alias("before"), F.col("r").cast("long").alias("after"))
-    several = contexts.filter(F.col("m").between(2, most_contexts))
-    reached = same.unionAll(_reached(_bodies(several, docs), length))
-    most = contexts.filter(F.col("m") > most_contexts)
-    if not most.isEmpty():
-        small, large = _parted(written(_bodies(most, docs), "bodies"), length, gram, most_contexts)
-        both = _reached(small, length).unionAll(_counted(large, length, gram))
-        reached = reached.unionAll(both.drop("k").join(most.select("k", "ctx"), "ctx").select("k", "ctx", "before", "after"))
+    bodies = _bodies(contexts.filter("m > 1"), docs)
+    most = contexts.filter(F.col("m") > most_contexts).select("k", "ctx")
+    large = not most.isEmpty()
+    bodies = written(bodies, "bodies") if large else bodies
+    reached = same.unionAll(_reached(bodies.filter(F.col("m") <= most_contexts).drop("m"), length))
+    if large:
+        small, rest = _parted(bodies.filter(F.col("m") > most_contexts).drop("m"), length, gram, most_contexts)
+        both = _reached(small, length).unionAll(_counted(rest, length, gram))
+        reached = reached.unionAll(both.drop("k").join(most, "ctx").select("k", "ctx", "before", "after"))
     reached = reached.groupBy("k", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     return found.select("k", "ctx", "rid", "at").join(reached, ["k", "ctx"]).select("rid", "k", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
 
