@@ -156,3 +156,25 @@ def course(df: DataFrame, key: str) -> DataFrame:
 
 def hex_cells(df: DataFrame, grid: cells.HexGrid, res: int) -> DataFrame:
     return df.withColumn("cell", grid.encode(F.col("lat"), F.col("lng"), res))
+
+
+def inventory(tracks: DataFrame, counts: list[DataFrame], key: str) -> DataFrame:
+    """Sessions with their tracks' figures, rank by path length and tier, and counts (key, …) from other tables (missing: 0)."""
+    out = tracks.withColumn("tier", mobility_tier(F.col("metres")))
+    for c in counts:
+        names = [n for n in c.columns if n != key]
+        out = out.join(c, key, "left").fillna(0, names)
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("metres", 3)), key)))
+
+
+def one_per_tier(tracks: DataFrame, key: str) -> DataFrame:
+    """The longest session of each mobility tier."""
+    best = F.row_number().over(Window.partitionBy("tier").orderBy(F.desc(F.round("metres", 3)), key))
+    return tracks.withColumn("tier", mobility_tier(F.col("metres"))).withColumn("_k", best).filter("_k = 1").drop("_k")
+
+
+def centered_mean(df: DataFrame, value: str, width_sec: float, keys: list[str], ts: str = "ts", out: str = "mean") -> DataFrame:
+    """Adds the mean of ``value`` over rows of the same keys at most width_sec / 2 away, both ends included."""
+    half = int(round(width_sec * 5e5))
+    w = Window.partitionBy(*keys).orderBy(F.round(F.col(ts) * 1e6).cast("long")).rangeBetween(-half, half)
+    return df.withColumn(out, F.avg(value).over(w))

@@ -165,3 +165,11 @@ def spread(df: DataFrame, vec: str, order: str, blocks: int = 16) -> DataFrame:
     mean = F.col("s") / F.col("pairs")
     return total.select("pairs", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("pairs") - mean * mean, F.lit(0.0))).alias("sd"), "min", "max")
 
+
+
+def grid(spark, **values: list) -> DataFrame:  # noqa: ANN001
+    """Every combination of parameter values, one row each, numbered."""
+    from itertools import product
+
+    rows = [(i, *combo) for i, combo in enumerate(product(*values.values()))]
+    return spark.createDataFrame(rows, ["run", *values])

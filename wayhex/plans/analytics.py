@@ -363,3 +363,49 @@ def median_outliers(spark, sf):
     o = data.observations(spark, sf)
     near = geo.near_median(o, "session", 0.07).groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     return o.select("session").distinct().join(near, "session", "left").select("session", F.coalesce("n", F.lit(0)).alias("near"))
+
+
+TRACKS = f"m AS (SELECT *, avg(lat) OVER (PARTITION BY session) AS a FROM o), x AS (SELECT session, ts, seq, lng * {cells.DEG * cells.EARTH_M!r}::DOUBLE * cos(a * {cells.DEG!r}::DOUBLE) AS x, lat * {cells.DEG * cells.EARTH_M!r}::DOUBLE AS y FROM m), s AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS s FROM x WINDOW w AS (PARTITION BY session ORDER BY ts, seq)), tr AS (SELECT session, round(coalesce(sum(s), 0), 3) AS metres, count(*) AS points FROM s GROUP BY session), ti AS (SELECT *, CASE WHEN metres >= 50 THEN 'street' WHEN metres >= 15 THEN 'building' WHEN metres >= 5 THEN 'room' ELSE 'sub-room' END AS tier FROM tr)"
+
+
+@query(f"WITH {OBS}, {TRACKS}, e AS (SELECT session, count(*) AS errors FROM o WHERE item LIKE 'error|%' GROUP BY session) SELECT session, metres, points, tier, coalesce(errors, 0) AS errors, row_number() OVER (ORDER BY metres DESC, session) AS rank FROM ti LEFT JOIN e USING (session)")
+def session_inventory(spark, sf):
+    o = data.observations(spark, sf)
+    errors = o.filter("item like 'error|%'").groupBy("session").agg(F.count(F.lit(1)).alias("errors"))
+    out = geo.inventory(geo.track_length(o, "session"), [errors], "session")
+    return out.select("session", F.round("metres", 3).alias("metres"), "points", "tier", "errors", "rank")
+
+
+@query(f"WITH {OBS}, {TRACKS} SELECT tier, session, metres FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY metres DESC, session) AS k FROM ti) WHERE k = 1")
+def mobility_tiers(spark, sf):
+    out = geo.one_per_tier(geo.track_length(data.observations(spark, sf), "session"), "session")
+    return out.select("tier", "session", F.round("metres", 3).alias("metres"))
+
+
+@query(f"WITH {OBS}, u AS (SELECT *, round(ts * 1e6)::BIGINT AS us FROM o) SELECT seq, round(avg(value) OVER (PARTITION BY session ORDER BY us RANGE BETWEEN 1800000000 PRECEDING AND 1800000000 FOLLOWING), 6) AS mean FROM u")
+def centered_mean(spark, sf):
+    return geo.centered_mean(data.observations(spark, sf), "value", 3600.0, ["session"]).select("seq", r6("mean").alias("mean"))
+
+
+@query(f"WITH {OBS} SELECT floor(ts / 5e0)::BIGINT AS slot, count(*) AS n, min(seq) AS first_seq FROM o GROUP BY 1")
+def epoch_slots(spark, sf):
+    """Slots aligned to the epoch."""
+    return event_slots(data.observations(spark, sf), 5.0).groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+@query(f"WITH {OBS}, {REG}, c AS (SELECT {cell_sql(res=8)} AS cell, j, max(rho) AS rho FROM g GROUP BY ALL) SELECT cell, round({EST}, 6) AS n FROM (SELECT cell, count(*) AS k, sum(pow(2e0, -rho)) AS p FROM c GROUP BY cell)")
+def sketch_union(spark, sf):
+    """Distinct items of coarse cells, merged from the registers of users."""
+    o = data.observations(spark, sf).filter("item is not null").withColumn("h", scalars.hash60(F.col("item"))).withColumn("cell", GRID.encode(F.col("lat"), F.col("lng"), 8))
+    parts = sketch.registers(o, ["session", "cell"], "h", CFG.precision)
+    return sketch.estimate(sketch.merge(parts, ["cell"]), ["cell"], CFG.precision, "n").withColumn("n", r6("n"))
+
+
+@query("WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT label, unnest(range(1, 65)) AS dim, unnest(v) AS x FROM p), m AS (SELECT label, dim, avg(x) AS x FROM q GROUP BY ALL) SELECT label, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m")
+def mean_pool(spark, sf):
+    """The normalized mean vector of each label."""
+    from pyspark.sql.window import Window
+
+    v = data.vectors(spark, sf).select("label", F.posexplode("vec").alias("i", "x"))
+    m = v.groupBy("label", (F.col("i") + 1).cast("long").alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return m.withColumn("x", r6(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label")))))
