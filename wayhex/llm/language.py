@@ -22,7 +22,7 @@ from .textops import cut, mix, raw
 
 N = 4
 PROBES = 3
-#: The classifier is fitted on at most so many labelled documents of each language.
+#: The classifier is fitted on at most so many different labelled texts of each language.
 SAMPLE = 1000
 #: An n-gram counts as a language's if it is seen at least so often there, and at least at this share of its highest rate in any language.
 LEAST_SEEN, LEAST_RATE = 3, 0.2
@@ -80,31 +80,39 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[good], np.concatenate(([0], np.cumsum(good)))[np.minimum(offsets, last)]
 
 
-def train(docs: DataFrame, text: Column, lang: Column, order: Column, sample: int = SAMPLE) -> Filter | None:
-    """Fits the filter on rows whose text and lang aren't null, at most ``sample`` of each language, the least by ``order``.
+def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) -> Filter | None:
+    """Fits the filter on rows whose text and lang aren't null: at most ``sample`` different texts of each language, the least by hash.
 
-    None if there is no such row. Up to 64 languages. What reaches the driver is bounded by
-    the sample: the counts of the n-grams that pass LEAST_SEEN.
+    Rows whose hash is too large for that are dropped where they are read, by the language's number of rows; copies are merged before
+    they are shuffled and count LEAST_SEEN times at most. So a language's few candidates meet in a task, however many rows it has. None if
+    there is no row. Up to 64 languages. What reaches the driver is bounded by the sample: the counts of the n-grams that pass LEAST_SEEN.
     """
-    rows = docs.select(text.cast("string").alias("_text"), lang.cast("string").alias("_lang"), order.alias("_order")).filter("_text is not null and _lang is not null")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_text"))).filter(F.col("_n") <= sample)
+    rows = docs.select(text.cast("string").alias("_text"), lang.cast("string").alias("_lang")).filter("_lang is not null")
+    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().limit(65).collect()}
+    if len(sizes) > 64:
+        raise ValueError("over 64 languages")
+    if not sizes:
+        return None
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 4.0 * sample / n))]), F.col("_lang"))
+    rows = rows.filter("_text is not null").withColumn("_h", F.xxhash64("_text")).filter(F.shiftrightunsigned("_h", 2) / float(1 << 62) <= share)
+    rows = rows.groupBy("_lang", "_h").agg(F.first("_text").alias("_text"), F.least(F.count(F.lit(1)), F.lit(LEAST_SEEN)).alias("_c"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_n") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text"):
             code, at = grams(b.column(0))
             langs = b.column(1).dictionary_encode()
             row = np.repeat(langs.indices.to_numpy(), np.diff(at)).astype(np.uint64)
-            both, seen = np.unique(row << _U(32) | code, return_counts=True)
+            both, place = np.unique(row << _U(32) | code, return_inverse=True)
+            seen = np.bincount(place, np.repeat(b.column(2).to_numpy(), np.diff(at)), len(both))
             names = langs.dictionary.take(pa.array((both >> _U(32)).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([names, pa.array((both & _U(0xFFFFFFFF)).astype(np.int64)), pa.array(seen.astype(np.int64))], ["lang", "gram", "seen"])
 
-    seen = rows.select("_text", "_lang").mapInArrow(count, "lang string, gram long, seen long").groupBy("lang", "gram").agg(F.sum("seen").alias("seen"))
+    seen = rows.select("_text", "_lang", "_c").mapInArrow(count, "lang string, gram long, seen long").groupBy("lang", "gram").agg(F.sum("seen").alias("seen"))
     found = seen.withColumn("total", F.sum("seen").over(Window.partitionBy("lang"))).filter(F.col("seen") >= LEAST_SEEN).toPandas()
     if found.empty:
         return None
     languages = tuple(sorted(found["lang"].unique()))
-    if len(languages) > 64:
-        raise ValueError("over 64 languages")
     found["rate"] = found["seen"] / found["total"]
     found = found[found["rate"] >= LEAST_RATE * found.groupby("gram")["rate"].transform("max")]
     most = int(found.groupby("lang").size().max())
@@ -162,5 +170,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     A row without id is not learned from, nor held out.
     """
     learned = docs.filter(fold(id_col) != 0)
-    model = train(learned, F.col(text_col), F.col(lang_col), F.xxhash64(F.col(text_col)), sample)
+    model = train(learned, F.col(text_col), F.col(lang_col), sample)
     return predict(docs, model, id_col, text_col).withColumn("held_out", F.coalesce(fold("doc_id") == 0, F.lit(False)))
