@@ -267,7 +267,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
         small, rest = _parted(bodies.filter(F.col("m") > most_contexts).drop("m"), length, gram, most_contexts)
         both = _reached(small, length).unionAll(_counted(rest, length, gram))
         reached = reached.unionAll(both.drop("k").join(most, "ctx").select("k", "ctx", "before", "after"))
-    reached = reached.groupBy("k", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    # written, so that a context that very many anchors have can be split in the join
+    reached = written(reached.groupBy("k", "ctx").agg(F.max("before").alias("before"), F.max("after").alias("after")), "reached")
     return found.select("k", "ctx", "rid", "at").join(reached, ["k", "ctx"]).select("rid", "k", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end"))
 
 
