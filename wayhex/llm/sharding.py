@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import written
+
 
 SHARDS = 16
 SEED = 42
@@ -33,14 +35,14 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 def external_shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The records of ``df``, all columns, with shard (int) and slot (long, gapless from 0 in each shard).
 
-    ``df`` must be read alike each time (a table's scan): the hash takes a record's
-    place in it, so that repeated rows and hot keys scatter like any others. Within a bucket
-    records are put in the order of that hash before they are shuffled: a task that runs again gives the
-    same result. A null text counts as empty. Columns named shard, slot and
+    The hash takes a record's place in ``df``, so that repeated rows and hot keys scatter like any others; ``df`` should be
+    a table's scan, whose rows have the same places when a task runs again. Within a bucket
+    records are put in the order of that hash before they are shuffled. The shuffled buckets are written once, and
+    their sizes, which give each its run of the permutation, are counted from what was written. A null text counts as empty. Columns named shard, slot and
     starting with _bucket or _key are replaced. An empty table gives an empty result; shards may stay empty.
     """
     own = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith(("_bucket", "_key"))]
-    total, size = df.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64)).first()
+    size = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64)).first()[0]
     buckets = max(1, min(MOST_BUCKETS, -(-(size or 0) // bucket_bytes)))
     placed = df.select(*own, F.monotonically_increasing_id().alias("_key"))
     placed = placed.withColumn("_key", F.xxhash64(F.lit(seed), "_key")).withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
@@ -51,11 +53,11 @@ def external_shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS
         return bucket.take(np.argsort(keys, kind="stable")[fisher_yates(len(keys), (seed, number))]).append_column("_place", pa.array(np.arange(len(keys))))
 
     schema = T.StructType([*placed.schema.fields, T.StructField("_place", T.LongType())])
-    mixed = placed.groupBy("_bucket").applyInArrow(shuffle, schema)
-    counts = placed.select("_bucket").groupBy("_bucket").count().collect()
+    mixed = written(placed.groupBy("_bucket").applyInArrow(shuffle, schema).drop("_key"), "shuffled")
     sizes = np.zeros(buckets, np.int64)
-    for r in counts:
+    for r in mixed.groupBy("_bucket").count().collect():
         sizes[r["_bucket"]] = r["count"]
+    total = int(sizes.sum())
     before = np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
     @F.pandas_udf("struct<shard:int,slot:long>")
