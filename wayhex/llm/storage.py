@@ -7,28 +7,18 @@ executors); only where that is unset, as in tests, to a temporary folder.
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-_own: list[str] = []
-
+from ..scratch import shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="wayhex-"))
-    return _own[0]
+_written: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back with the same schema."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
