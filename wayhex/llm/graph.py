@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .storage import written
 
 
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) joined to least (u, m): a hub's edges are dealt out by salt, and what is still large can be split."""
+    salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    each = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(each.hint("merge"), ["u", "_s"]).drop("_s")  # never broadcast: it grows with the data
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (u, v: long) but roots; a root is its component's least vertex.
 
@@ -20,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).filter("u <> v").distinct()
+        small = _with_least(large, low).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).filter("u <> v").distinct()
         e = written(small, "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
