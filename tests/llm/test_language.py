@@ -62,3 +62,22 @@ def test_prediction_uses_text_only(spark, sf):
     base = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
     other = docs.withColumn("lang", F.when(language.fold() == 0, "xx").otherwise(F.col("lang"))).withColumn("source", F.lit("z"))
     assert {r.doc_id: r.lang_pred for r in language.identify(other).collect()} == base
+
+
+def test_sample_counts_different_texts(spark):
+    texts = {f"text number {i} of {name}": name for name, n in (("en", 60), ("de", 25), ("fr", 1)) for i in range(n)}
+    docs = frame(spark, [(i, t, name) for i, (t, name) in enumerate(texts.items())])
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = {t for name in ("en", "de", "fr") for t in sorted((t for t in texts if texts[t] == name), key=hashes.get)[:40]}
+    for copies in (1, 300):
+        rows = docs.crossJoin(spark.range(copies)).select(F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+        got = language.sampled(rows, 40).collect()
+        assert len(got) == 66 and {r["_text"] for r in got} == want
+        assert all(r["_h"] == hashes[r["_text"]] and r["_c"] == min(copies, language.LEAST_SEEN) for r in got)
+
+
+def test_copies_do_not_keep_a_language_from_being_learned(spark):
+    rows = [(i, f"{text} {i}", lang) for lang, text in (("en", "the quick brown fox jumps over the lazy dog"), ("de", "der schnelle braune fuchs springt über den hund")) for i in range(10)]
+    docs = frame(spark, rows).crossJoin(spark.range(1000).select(F.lit(1).alias("x"))).drop("x")
+    model = language.train(docs, F.col("text"), F.col("lang"), sample=10)
+    assert model is not None and model.languages == ("de", "en")

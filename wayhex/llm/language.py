@@ -80,23 +80,29 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code[good], np.concatenate(([0], np.cumsum(good)))[np.minimum(offsets, last)]
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(_lang, _h, _text, _c) of rows (_text, _lang) without nulls: of each language the ``sample`` different texts of least hash, or all if they are fewer.
+
+    ``_c`` is the number of copies, LEAST_SEEN at most. Rows whose hash is too large by the language's estimated number of different texts are
+    dropped where they are read (about 4 * sample + 64 of them pass; under ``sample`` pass with a probability below 1e-20), and copies are merged before they are shuffled.
+    """
+    rows = rows.withColumn("_h", F.xxhash64("_text"))
+    sizes = rows.groupBy("_lang").agg(F.approx_count_distinct("_h").alias("_d"))
+    rows = rows.join(F.broadcast(sizes), "_lang").filter((F.col("_h") / 2.0**64 + 0.5) * F.col("_d") <= 4.0 * sample + 64)
+    rows = rows.groupBy("_lang", "_h").agg(F.first("_text").alias("_text"), F.least(F.count(F.lit(1)), F.lit(LEAST_SEEN)).alias("_c"))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_n") <= sample).drop("_n")
+
+
 def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) -> Filter | None:
     """Fits the filter on rows whose text and lang aren't null: at most ``sample`` different texts of each language, the least by hash.
 
-    Rows whose hash is too large for that are dropped where they are read, by the language's number of rows; copies are merged before
-    they are shuffled and count LEAST_SEEN times at most. So a language's few candidates meet in a task, however many rows it has. None if
-    there is no row. Up to 64 languages. What reaches the driver is bounded by the sample: the counts of the n-grams that pass LEAST_SEEN.
+    Copies are merged and count LEAST_SEEN times at most. None if there is no row. Up to 64 languages. What reaches the driver is bounded by the
+    sample: the counts of the n-grams that pass LEAST_SEEN.
     """
-    rows = docs.select(text.cast("string").alias("_text"), lang.cast("string").alias("_lang")).filter("_lang is not null")
-    sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().limit(65).collect()}
-    if len(sizes) > 64:
+    rows = docs.select(text.cast("string").alias("_text"), lang.cast("string").alias("_lang")).filter("_text is not null and _lang is not null")
+    if len(rows.select("_lang").distinct().limit(65).collect()) > 64:
         raise ValueError("over 64 languages")
-    if not sizes:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 4.0 * sample / n))]), F.col("_lang"))
-    rows = rows.filter("_text is not null").withColumn("_h", F.xxhash64("_text")).filter(F.shiftrightunsigned("_h", 2) / float(1 << 62) <= share)
-    rows = rows.groupBy("_lang", "_h").agg(F.first("_text").alias("_text"), F.least(F.count(F.lit(1)), F.lit(LEAST_SEEN)).alias("_c"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_n") <= sample)
+    rows = sampled(rows, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text"):
