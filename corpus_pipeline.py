@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on what its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. Rows are matched by doc_id, null ids included: rows that share an id share their fate.
+columns of documents. Each row gets a verdict of its own, whether or not its id is null or repeated.
 """
 
 from __future__ import annotations
@@ -18,16 +18,15 @@ LEAST_KNOWN = 0.2
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose doc_id is (left_semi) or isn't (left_anti) in the first column of ids."""
-    own = ids.select(F.col(ids.columns[0]).alias("_id"))
-    return docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows, written with a key _row of their own."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters, or in no language that was learned, go."""
-    found = language.identify(docs)
-    return _only(docs, found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("known") >= LEAST_KNOWN)), "left_semi")
+    found = language.identify(docs, keep=True).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
+    return found.select(*[F.col("_text").alias(c) if c == "text" else F.col("_r")[c].alias(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +36,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays."""
-    found = jaccard.jaccard_join(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))), "left_semi")
+    """Of each class of near copies one row stays, of those with the least id; a null id is the greatest."""
+    rows = _keyed(docs)
+    found = jaccard.jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("_class").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, containment.contained(docs, items), "left_anti")
+    rows = _keyed(docs)
+    found = written(containment.contained(rows, items, id_col="_row").select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_awkward_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.collect() == []
+
+
+def test_rows_without_or_with_repeated_ids_have_verdicts_of_their_own(spark, sf, tmp_path):
+    (_, lang), _, (_, near), (_, leak), _ = corpus_pipeline.STAGES
+    texts = lambda df: sorted(r.text for r in df.collect())
+    words = [(100 + i, f"the words of document number {i} are these and those", "en") for i in range(30)]
+    kept = texts(lang(spark, frame(spark, [*words, (None, "the words of document"), (None, "12 34"), (5, "these and those"), (5, "!")]), sf))
+    assert kept == sorted([*(t for _, t, _ in words), "the words of document", "these and those"])
+
+    one, two, three = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue yellow pink brown")
+    rows = [(None, one), (None, two), (None, one), (3, two), (3, two), (4, three), (2, three), (2, three)]
+    assert sorted(((r.doc_id, r.text) for r in near(spark, frame(spark, rows), sf).collect()), key=str) == [(2, three), (3, two), (None, one)]
+
+    spark.createDataFrame([(1, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = leak(spark, frame(spark, [(None, one), (None, two), (7, two), (7, three)]), str(tmp_path))
+    assert left.columns == frame(spark, []).columns and texts(left) == sorted([one, three])

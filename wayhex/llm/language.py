@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .textops import cut, mix, raw
@@ -133,15 +134,17 @@ def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) ->
     return Filter(languages, languages.index(total.idxmax()), table, fill**PROBES)
 
 
-def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, known) for each row.
+def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, known) for each row; with ``keep`` the row itself too, as _text and a struct _r of the other columns.
 
     ``score`` is the predicted language's share of the corrected hits of all
     languages, ``known`` the share of the text's n-grams that are its. A
     null text, one without letters, and any text where there is no model: UNKNOWN, 0, 0. Without hits the
     most common learned language, 0, 0. Ties go to the language first in order. Repeated rows give repeated rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    own = [F.struct(*[c for c in docs.columns if c != text_col]).alias("_r")] if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *own)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("known", T.DoubleType()), *rows.schema.fields[1 if keep else 2 :]])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text", 1 << 20):
@@ -160,9 +163,9 @@ def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_
                 names = np.where(lettered, np.array(model.languages, object)[pick], UNKNOWN)
                 score = np.where(lettered & (total > 0), best / np.maximum(total, 1e-300), 0.0)
                 known = np.where(lettered & (n > 0), np.minimum(best / np.maximum(n, 1), 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(known)], ["doc_id", "lang_pred", "score", "known"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(known), *b.columns[1 if keep else 2 :]], schema.names)
 
-    return rows.mapInArrow(label, "doc_id long, lang_pred string, score double, known double")
+    return rows.mapInArrow(label, schema)
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -170,11 +173,11 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, keep: bool = False) -> DataFrame:
     """Learns from the rows of folds 1 to 4 with a lang, and predicts all rows: predict()'s columns and held_out (fold 0).
 
     A row without id is not learned from, nor held out.
     """
     learned = docs.filter(fold(id_col) != 0)
     model = train(learned, F.col(text_col), F.col(lang_col), sample)
-    return predict(docs, model, id_col, text_col).withColumn("held_out", F.coalesce(fold("doc_id") == 0, F.lit(False)))
+    return predict(docs, model, id_col, text_col, keep).withColumn("held_out", F.coalesce(fold("doc_id") == 0, F.lit(False)))
