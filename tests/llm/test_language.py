@@ -81,3 +81,12 @@ def test_copies_do_not_keep_a_language_from_being_learned(spark):
     docs = frame(spark, rows).crossJoin(spark.range(1000).select(F.lit(1).alias("x"))).drop("x")
     model = language.train(docs, F.col("text"), F.col("lang"), sample=10)
     assert model is not None and model.languages == ("de", "en")
+
+
+def test_any_number_of_languages(spark):
+    word = lambda i, k: "".join("abcdefghij"[int(d)] for d in f"{(i * 7919 + k * 104729) % 10**8:08d}")
+    rows = [(1000 * i + k, " ".join(word(i, w) for w in range(6)) + f" {'x' * k}", f"l{i:03d}") for i in range(150) for k in range(4)]
+    model = language.train(frame(spark, rows), F.col("text"), F.col("lang"))
+    assert len(model.languages) == 150 and model.rows.shape[1:] == (3,)
+    got = language.predict(frame(spark, rows), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {d: lang for d, _, lang in rows}

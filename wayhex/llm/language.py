@@ -36,7 +36,7 @@ _KIND[:97] = _KIND[123:128] = 32
 
 @dataclass(frozen=True)
 class Filter:
-    """``rows[slot]`` has bit L set where an n-gram of language L probes the slot."""
+    """``rows[slot]`` has bit L set where an n-gram of language L probes the slot; over 64 languages, bit L % 64 of ``rows[slot, L // 64]``."""
 
     languages: tuple[str, ...]
     prior: int
@@ -45,12 +45,18 @@ class Filter:
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
         """For each n-gram the bitmask of the languages that (seem to) contain it."""
-        out = np.full(len(grams), np.iinfo(self.rows.dtype).max, self.rows.dtype)
+        out = np.full((len(grams), *self.rows.shape[1:]), np.iinfo(self.rows.dtype).max, self.rows.dtype)
         for i in probes(grams, len(self.rows)):
             out &= self.rows[i]
         return out
 
 
+def language_bits(rows: np.ndarray, i: int) -> np.ndarray:
+    """Language i's bit of each row of a table or of a lookup's result."""
+    own, k = (rows, i) if rows.ndim == 1 else (rows[:, i // 64], i % 64)
+    return own >> own.dtype.type(k) & own.dtype.type(1)
+
+
 def probes(grams: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     h = mix(grams.astype(_U) + _U(1))
     for k in range(PROBES):
@@ -97,13 +103,10 @@ def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) -> Filter | None:
     """Fits the filter on rows whose text and lang aren't null: at most ``sample`` different texts of each language, the least by hash.
 
-    Copies are merged and count LEAST_SEEN times at most. None if there is no row. Up to 64 languages. What reaches the driver is bounded by the
+    Copies are merged and count LEAST_SEEN times at most. None if there is no row. What reaches the driver is bounded by the
     sample: the counts of the n-grams that pass LEAST_SEEN.
     """
-    rows = docs.select(text.cast("string").alias("_text"), lang.cast("string").alias("_lang")).filter("_text is not null and _lang is not null")
-    if len(rows.select("_lang").distinct().limit(65).collect()) > 64:
-        raise ValueError("over 64 languages")
-    rows = sampled(rows, sample)
+    rows = sampled(docs.select(text.cast("string").alias("_text"), lang.cast("string").alias("_lang")).filter("_text is not null and _lang is not null"), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text"):
@@ -124,12 +127,14 @@ def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) ->
     found = found[found["rate"] >= LEAST_RATE * found.groupby("gram")["rate"].transform("max")]
     most = int(found.groupby("lang").size().max())
     slots = min(MOST_SLOTS, 1 << max(10, (8 * most).bit_length()))
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(k).bits)
-    table = np.zeros(slots, kind)
+    kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.iinfo(k).bits), np.uint64)
+    table = np.zeros(slots if len(languages) <= 64 else (slots, -(-len(languages) // 64)), kind)
+    own = found.groupby("lang")["gram"]
     for i, name in enumerate(languages):
-        for p in probes(found.loc[found["lang"] == name, "gram"].to_numpy().astype(np.uint32), slots):
-            table[p] |= kind(1 << i)
-    fill = np.array([((table >> kind(i)) & kind(1)).mean() for i in range(len(languages))])
+        column = table if table.ndim == 1 else table[:, i // 64]
+        for p in probes(own.get_group(name).to_numpy().astype(np.uint32), slots):
+            column[p] |= kind(1 << i % 64)
+    fill = np.array([language_bits(table, i).mean() for i in range(len(languages))])
     total = found.groupby("lang")["total"].max()
     return Filter(languages, languages.index(total.idxmax()), table, fill**PROBES)
 
@@ -156,7 +161,7 @@ def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_
                 n = np.diff(at)
                 hits = np.empty((len(model.languages), b.num_rows))
                 for i, fp in enumerate(model.false_positive):
-                    got = np.diff(np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)))[at])
+                    got = np.diff(np.concatenate(([0], np.cumsum(language_bits(mask, i), dtype=np.int64)))[at])
                     hits[i] = np.maximum((got - n * fp) / (1 - fp), 0) if fp < 1 else 0
                 best, total = hits.max(axis=0), hits.sum(axis=0)
                 pick = np.where(best > 0, hits.argmax(axis=0), model.prior)
