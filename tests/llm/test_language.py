@@ -90,3 +90,10 @@ def test_any_number_of_languages(spark):
     assert len(model.languages) == 150 and model.rows.shape[1:] == (3,)
     got = language.predict(frame(spark, rows), model).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {d: lang for d, _, lang in rows}
+
+
+def test_a_text_without_grams_is_not_unknown(spark):
+    rows = [(i, "the quick brown fox jumps over the lazy dog", "en") for i in range(20)]
+    model = language.train(frame(spark, rows), F.col("text"), F.col("lang"))
+    got = {r.doc_id: (r.lang_pred, r.score, r.known) for r in language.predict(frame(spark, [(1, "A."), (2, "Re."), (3, "12."), (4, "")]), model).collect()}
+    assert got == {1: ("en", 0, 1), 2: ("en", 0, 1), 3: ("und", 0, 0), 4: ("und", 0, 0)}

@@ -143,7 +143,7 @@ def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_
     """(doc_id, lang_pred, score, known) for each row; with ``keep`` the row itself too, as _text and a struct _r of the other columns.
 
     ``score`` is the predicted language's share of the corrected hits of all
-    languages, ``known`` the share of the text's n-grams that are its. A
+    languages, ``known`` the share of the text's n-grams that are its; 1 for a text with letters but without n-grams, as no n-gram is unknown. A
     null text, one without letters, and any text where there is no model: UNKNOWN, 0, 0. Without hits the
     most common learned language, 0, 0. Ties go to the language first in order. Repeated rows give repeated rows.
     """
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_
                 pick = np.where(best > 0, hits.argmax(axis=0), model.prior)
                 names = np.where(lettered, np.array(model.languages, object)[pick], UNKNOWN)
                 score = np.where(lettered & (total > 0), best / np.maximum(total, 1e-300), 0.0)
-                known = np.where(lettered & (n > 0), np.minimum(best / np.maximum(n, 1), 1), 0.0)
+                known = np.where(lettered, np.where(n > 0, np.minimum(best / np.maximum(n, 1), 1), 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(known), *b.columns[1 if keep else 2 :]], schema.names)
 
     return rows.mapInArrow(label, schema)
