@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS_PER_SHINGLE = 5
+#: Texts longer than this many bytes are worked on in parts.
+CHUNK = 4 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -80,38 +82,56 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column, and the offsets of its rows among them."""
-    data, offsets = raw(pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), "")))
-    if not len(data):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+def _word_spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of data; no word crosses a cut."""
     inside = _WORD[data]
     cutting = np.zeros(len(data) + 1, bool)
-    cutting[offsets] = True
+    cutting[cuts] = True
     before = np.concatenate(([False], inside[:-1])) & ~cutting[:-1]
     after = np.concatenate((inside[1:], [False])) & ~cutting[1:]
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return span_hash(prefix_hash(data), start, end), np.searchsorted(start, offsets)
+    return start, span_hash(prefix_hash(data), start, end)
 
 
-def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(col: pa.Array, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string column, and the offsets of its rows among them. Long texts go in chunks that end between words."""
+    data, offsets = raw(pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), "")))
+    if not len(data):
+        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    found, lo = [], 0
+    while lo < len(data):
+        hi = min(lo + chunk, len(data))
+        while hi < len(data) and _WORD[data[hi]]:
+            gap = np.flatnonzero(~_WORD[data[hi : hi + chunk]])
+            hi = hi + int(gap[0]) if len(gap) else min(hi + chunk, len(data))
+        start, h = _word_spans(data[lo:hi], offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo)
+        found.append((start + lo, h))
+        lo = hi
+    start, h = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0]
+    return h, np.searchsorted(start, offsets)
+
+
+def shingles(col: pa.Array, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a string column, in order and with repeats, and the offsets of its rows."""
-    w, at = words(col)
+    w, at = words(col, chunk)
     n = np.diff(at)
     k = WORDS_PER_SHINGLE
     each = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     out_at = np.concatenate(([0], np.cumsum(each)))
-    if not len(w):
-        return w, out_at
-    first = np.repeat(at[:-1] - out_at[:-1], each) + np.arange(out_at[-1])
-    size = np.repeat(np.minimum(n, k), each)
-    h = size.astype(_U)
-    for j in range(k):
-        there = j < size
-        part = w[np.where(there, first + j, 0)]
-        h = np.where(there, (h * _U(_BASE)) ^ part, h)
-        h = h * _U(0xFF51AFD7ED558CCD) + (h >> _U(32))
-    return mix(h), out_at
+    out = np.empty(int(out_at[-1]), _U)
+    for lo in range(0, len(out), chunk):
+        place = np.arange(lo, min(lo + chunk, len(out)))
+        row = np.searchsorted(out_at, place, "right") - 1
+        first = at[row] - out_at[row] + place
+        size = np.minimum(n[row], k)
+        h = size.astype(_U)
+        for j in range(k):
+            there = j < size
+            part = w[np.where(there, first + j, 0)]
+            h = np.where(there, (h * _U(_BASE)) ^ part, h)
+            h = h * _U(0xFF51AFD7ED558CCD) + (h >> _U(32))
+        out[lo : lo + chunk] = mix(h)
+    return out, out_at
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .textops import prefix_hash, raw, span_hash
+from .textops import CHUNK, prefix_hash, raw, span_hash
 
 #: Words that a Python worker remembers; beyond, it starts anew. It only saves time.
 CACHE_WORDS = 700_000
@@ -102,10 +102,28 @@ class WordEncoder:
         at = np.flatnonzero(stops)
         return start, at[np.searchsorted(at, start, "right")]
 
-    def _plain(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, col: pa.Array, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets, in windows of about ``chunk`` bytes that end at a text's end or before a blank, where no word goes on."""
         data, offsets = raw(pc.utf8_lower(col))
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        parts, starts, sizes, lo = [], [], [], 0
+        while lo < len(data):
+            hi = min(lo + chunk, len(data))
+            while hi < len(data) and data[hi] != 32:
+                gap = np.flatnonzero(data[hi : hi + chunk] == 32)
+                hi = hi + int(gap[0]) if len(gap) else min(hi + chunk, len(data))
+            edges = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo
+            start, ids, size = self._window(data[lo:hi], edges if len(edges) and edges[-1] == hi - lo else np.append(edges, hi - lo))
+            parts.append(ids)
+            starts.append(start + lo)
+            sizes.append(size)
+            lo = hi
+        before = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        return np.concatenate(parts), before[np.searchsorted(np.concatenate(starts), offsets)]
+
+    def _window(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts of the words, ids of all, number of ids of each word)."""
         start, end = self._split(data, offsets)
         unique, first, inverse = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
         keys = unique.tolist()
@@ -122,8 +140,7 @@ class WordEncoder:
         place = np.array(places, np.int64)[inverse]
         size = self.ends[place + 1] - self.ends[place]
         before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.arange(before[-1]) + np.repeat(self.ends[place] - before[:-1], size)]
-        return ids, before[np.searchsorted(start, offsets)]
+        return start, self.ids[np.arange(before[-1]) + np.repeat(self.ends[place] - before[:-1], size)], size
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column (null: empty) and the offsets of its rows among them."""
