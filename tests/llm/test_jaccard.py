@@ -77,3 +77,28 @@ def test_components(spark):
     out = {x.v: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert out == {v: k for v, k in root.items() if v != k}
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def chain(n, size=60):
+    """Texts of which each differs from the one before by one word: far ends share nothing."""
+    w = [f"c{i}" for i in range(size)]
+    docs = []
+    for i in range(n):
+        docs.append((i, " ".join(w)))
+        w = [*w[1:], f"c{size + i}"]
+    return docs
+
+
+def test_a_long_chain_goes_by_buckets(spark):
+    docs = [*chain(150), *((500 + d, t) for d, t in varied(3, 36))]
+    assert got(jaccard.jaccard_join(frame(spark, docs), block=8)) == brute(docs)
+
+
+def test_the_cheaper_way_is_taken(spark):
+    bands = spark.createDataFrame([(c, t, 100 * t + c // 2) for c in range(40) for t in (0,)] + [(c, 1, 100 + (c + 1) // 2) for c in range(40)] + [(c, 0, 999) for c in range(50, 80)], "c long, t int, k long")
+    shared = bands.groupBy("t", "k").agg({"c": "min", "*": "count"}).toDF("t", "k", "m", "n").filter("n > 1")
+    group = spark.createDataFrame([(c, 0) for c in range(40)] + [(c, 50) for c in range(50, 80)] + [(90, 90), (91, 90)], "c long, g long")
+    got = jaccard._entries(bands, shared.select("t", "k", "m", "n"), group, 4).collect()
+    ways = {c: {r.t for r in got if r.c == c} for c in (0, 5, 60, 90)}
+    assert ways == {0: {0}, 5: {0, 1}, 60: {-1}, 90: {-1}}
+    assert {r.parts for r in got if r.c == 60} == {8} and {r.parts for r in got if r.c == 5} == {1}

@@ -5,8 +5,10 @@ of MinHash values are candidates. Their MinHash values are compared a step at a
 dropped once the posterior probability that its similarity reaches the threshold,
 under a uniform prior, falls below a tolerance; the shingles of the rest are compared exactly.
 
-Pairs are never emitted: classes joined by bands are brought together once, in blocks of bounded size (a larger
-group goes as pairs of blocks), and a task returns each class's number of links and a spanning forest.
+Pairs are never emitted: classes are brought together in blocks of bounded size (a larger group goes as pairs of
+blocks), and a task returns each class's number of links and a spanning forest. A group is all classes that bands connect,
+so that each text is sent once; where a connected component is larger than a block and holds few pairs that share a band, as
+in a chain, the buckets of its bands are the groups, and a pair counts in the first band it shares. The cheaper of both is taken, by the texts to be sent: results are the same.
 """
 
 from __future__ import annotations
@@ -81,14 +83,15 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, rid long, h1 long, h2 long, n long, sig binary")
 
 
-def links(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray | None, need: dict[int, int], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j), i < j, of a block that share a band and reach the threshold exactly; with ``side``, only pairs across."""
+def links(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray | None, need: dict[int, int], threshold: float = THRESHOLD, band: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j), i < j, of a block that share a band and reach the threshold exactly; with ``side``, only pairs across, with ``band``, only those that share no earlier one."""
     m = len(sets)
     bands = np.ascontiguousarray(sig).view(f"V{4 * ROWS}").reshape(m, BANDS)
     near = np.zeros((m, m), bool)
-    for t in range(BANDS):
+    for t in range(BANDS if band < 0 else band + 1):
         _, own = np.unique(bands[:, t], return_inverse=True)
-        near |= own[:, None] == own[None, :]
+        same = own[:, None] == own[None, :]
+        near = same & ~near if t == band else near | same
     near &= np.arange(m)[:, None] < np.arange(m)[None, :]
     if side is not None:
         near &= side[:, None] != side[None, :]
@@ -114,21 +117,21 @@ def links(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray | None, need
         row = np.repeat(np.arange(m), sizes)
         keep = seen[place] > 1
         row, place = row[keep], common[place[keep]]
-        total = np.zeros((m, m), np.float32)  # exact up to 2**24 shared shingles
+        total = np.zeros((m, m), np.int32)  # a text has fewer than 2**31 shingles
         order = np.argsort(place, kind="stable")
         row, place = row[order], place[order]
         for lo in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
             u, v = np.searchsorted(place, (lo, lo + 4096))
             there = np.zeros((m, 4096), np.float32)
             there[row[u:v], place[u:v] - lo] = 1
-            total += there @ there.T
+            total += (there @ there.T).astype(np.int32)  # exact: at most 4096 each
         shared = total[i, j].astype(np.int64)
     good = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
     return i[good], j[good]
 
 
 def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
-    """(c, root, links) from rows (g, i, j, c, side, copies, h1, sig, _text) sorted by block: each class with links, a class it is joined to, and the copies it is linked to."""
+    """(c, root, links) from rows (g, t, i, j, c, side, copies, h1, sig, _text) sorted by block: each class with links, a class it is joined to, and the copies it is linked to."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = least_matches(threshold=threshold)
@@ -140,7 +143,7 @@ def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
                 return
             c, side, copies = (np.array([r[k] for r in held], np.int64) for k in range(3))
             sig = np.frombuffer(b"".join(r[3] for r in held), np.uint32).reshape(-1, _VALUES)
-            x, y = links([r[4] for r in held], sig, None if last[1] == last[2] else side, need, threshold)
+            x, y = links([r[4] for r in held], sig, None if last[2] == last[3] else side, need, threshold, last[1])
             if not len(x):
                 return
             n = np.bincount(x, copies[y], len(c)) + np.bincount(y, copies[x], len(c))
@@ -159,7 +162,7 @@ def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
         for b in cut(batches, "_text"):
             sets = shingle_sets(b.column("_text"))
             mine = (set_hashes(sets)[0] == b.column("h1").to_numpy()).tolist()
-            keys = list(zip(*(b.column(k).to_pylist() for k in ("g", "i", "j"))))
+            keys = list(zip(*(b.column(k).to_pylist() for k in ("g", "t", "i", "j"))))
             rows = zip(*(b.column(k).to_pylist() for k in ("c", "side", "copies", "sig")), sets)
             for key, row, right in zip(keys, rows, mine):
                 if key != last:
@@ -169,7 +172,20 @@ def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
                     held.append(row)
         yield from done()
 
-    return blocks.select("g", "i", "j", "c", "side", "copies", "h1", "sig", "_text").mapInArrow(work, "c long, root long, links long")
+    return blocks.select("g", "t", "i", "j", "c", "side", "copies", "h1", "sig", "_text").mapInArrow(work, "c long, root long, links long")
+
+
+def _entries(bands: DataFrame, shared: DataFrame, group: DataFrame, block: int) -> DataFrame:
+    """(c, g, t, parts): the groups in which class c meets others, at most one for each band. t is -1 for a whole component g, or else the band of bucket g."""
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block))
+    sizes = group.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") > block)
+    buckets = shared.join(group.join(large.select("g"), "g").select(F.col("c").alias("m"), "g"), "m")
+    apart = buckets.groupBy("g").agg(F.sum(F.col("n") * blocks("n")).alias("sent")).join(large, "g").filter(F.col("sent") < F.col("n") * blocks("n")).select("g")
+    apart = written(apart, "apart")
+    whole = group.join(sizes.join(apart, "g", "left_anti"), "g").select("c", "g", F.lit(-1).alias("t"), blocks("n").cast("int").alias("parts"))
+    own = buckets.join(apart, "g", "left_semi").select("t", "k", blocks("n").cast("int").alias("parts"))
+    return whole.unionAll(bands.join(own, ["t", "k"]).select("c", F.col("k").alias("g"), "t", "parts"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -179,7 +195,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of all rows connected by links (similarity >= threshold), ``n_links`` the number of other rows linked to this one, copies
     included. A null or empty text, or one without words, has no links and is
     a class of its own (class_id = set_id = doc_id). Ids may be null (a class of such rows only has a null id). Repeated rows are copies
-    of each other. Rows with one doc_id and different texts are different documents. The threshold must not be below 0.8, for which the bands are set.
+    of each other. Rows with one doc_id and different texts are different documents. An empty table gives an empty result. Only the id and the
+    text are read, so other columns may have any names; texts of any length are compared whole. The threshold must not be below 0.8, for which the bands are set.
     """
     if threshold < THRESHOLD:
         raise ValueError("the bands are set for similarities of 0.8 or more")
@@ -190,18 +207,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     values = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda t: F.xxhash64(t, F.col("sig").substr(t * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = classes.select("c", F.explode(values).alias("k"))
-    shared = bands.groupBy("k").agg(F.min("c").alias("m"), F.max("c").alias("x")).filter("m <> x").select("k", "m")
-    near = components(bands.join(shared, "k").filter("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")))
+    bands = classes.select("c", F.posexplode(values).alias("t", "k"))
+    shared = bands.groupBy("t", "k").agg(F.min("c").alias("m"), F.max("c").alias("x"), F.count(F.lit(1)).alias("n")).filter("m <> x").select("t", "k", "m", "n")
+    shared = written(shared, "buckets")
+    near = components(bands.join(shared, ["t", "k"]).filter("c <> m").select(F.col("c").alias("u"), F.col("m").alias("v")))
     group = near.select(F.col("v").alias("c"), F.col("root").alias("g"))
-    group = group.unionAll(near.select(F.col("root").alias("c"), F.col("root").alias("g")).distinct())
-    parts = group.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
+    group = written(group.unionAll(near.select(F.col("root").alias("c"), F.col("root").alias("g")).distinct()), "groups")
 
-    member = group.join(parts, "g").join(classes.select("c", "rid", "h1", "copies", "sig"), "c")
-    member = member.withColumn("side", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).join(rows.select("rid", "_text"), "rid")
+    entries = _entries(bands, shared, group, block)
+    member = entries.groupBy("c").agg(F.collect_list(F.struct("g", "t", "parts")).alias("_e")).join(classes.select("c", "rid", "h1", "copies", "sig"), "c")
+    member = member.join(rows.select("rid", "_text"), "rid").select("c", "h1", "copies", "sig", "_text", F.explode("_e").alias("_e")).select("*", "_e.*")
+    member = member.withColumn("side", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    blocks = member.select("g", "c", "side", "copies", "h1", "sig", "_text", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    found = written(_verify(blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "c"), threshold), "links")
+    blocks = member.select("g", "t", "c", "side", "copies", "h1", "sig", "_text", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    found = written(_verify(blocks.repartition("g", "t", "i", "j").sortWithinPartitions("g", "t", "i", "j", "c"), threshold), "links")
 
     count = found.groupBy("c").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("c").alias("u"), F.col("root").alias("v"))).select(F.col("v").alias("c"), "root")
