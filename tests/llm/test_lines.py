@@ -12,7 +12,7 @@ def test_query_against_sql(spark, sf):
     assert any(r.n_removed for r in got)
 
 
-def brute(docs, sites):
+def brute(docs, sites, most_lost=1):
     seen = collections.defaultdict(set)
     for _, text, _, site in docs:
         for x in (text or "").split("\n"):
@@ -23,7 +23,7 @@ def brute(docs, sites):
     for doc, text, _, _ in docs:
         own = (text or "").split("\n")
         good = [x for x in own if x.strip(" ") not in bad]
-        kept = own if sum(map(len, own)) - sum(map(len, good)) > 0.5 * sum(map(len, own)) else good
+        kept = own if sum(map(len, own)) - sum(map(len, good)) > most_lost * sum(map(len, own)) else good
         out.append((doc, None if text is None else "\n".join(kept), 0 if text is None else len(own), 0 if text is None else len(own) - len(kept)))
     return sorted(out, key=str)
 
@@ -41,11 +41,21 @@ def test_spread_around_the_threshold(spark):
         own += [f"  {x} " for x, k in pool.items() if i < 2 * k]
         docs.append((i, "\n".join(r.sample(own, len(own))), None, f"site{i // 2}" if i % 7 else None))
     docs += [*((*a, None, "s") for a in awkward()), *((900 + i, "copied line one\ncopied line two", None, f"c{i}") for i in range(30))]
+    df = frame(spark, docs).withColumnRenamed("lang", "n_lines")
     for sites in (10, 30):
         want = brute(docs, sites)
-        assert got(lines.remove_boilerplate(frame(spark, docs).withColumnRenamed("lang", "n_lines"), sites=sites)) == want
+        assert got(lines.remove_boilerplate(df, sites=sites)) == want
+        assert any(x[3] for x in want) and all(x[1:] == ("", 2, 2) for x in want if isinstance(x[0], int) and x[0] >= 900)
+        want = brute(docs, sites, 0.5)
+        assert got(lines.remove_boilerplate(df, sites=sites, most_lost=0.5)) == want
         assert any(x[3] for x in want) and all(x[3] == 0 for x in want if isinstance(x[0], int) and x[0] >= 900)
 
 
+def test_an_article_under_long_headers_loses_them(spark):
+    head = "\n".join(f"a long header line that stands on every site, number {k}" for k in range(8))
+    docs = [(i, f"{head}\nown words {i}", None, f"s{i}") for i in range(12)]
+    assert got(lines.remove_boilerplate(frame(spark, docs))) == sorted(((i, f"own words {i}", 9, 8) for i in range(12)), key=str)
+
+
 def test_empty(spark):
     assert got(lines.remove_boilerplate(frame(spark, []))) == []

@@ -2,8 +2,8 @@
 
 A HyperLogLog sketch of sites for each line hash, merged by aggregation, estimates on how many
 sites a line stands. Lines near the threshold get exact distinct counts. Lines
-on enough sites are boilerplate and go from all documents, but from those that they make up for the most part:
-such documents are copies, which are for near-duplicate removal to judge.
+on enough sites are boilerplate and go from all documents. Where near-duplicate removal follows, a mode leaves documents whole
+that boilerplate makes up for the most part: they are copies, which it would not know any more without those lines.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ SITES = 10
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly; it is over six standard errors of a sketch of 2**LG_K registers.
 NEAR = 0.1
+#: The share of characters for the mode that leaves such documents whole; the operator's default is to leave none.
 MOST_LOST = 0.5
 
 
@@ -38,12 +39,13 @@ def spread(docs: DataFrame, text_col: str = "text", site_col: str = "source", si
     return guess.filter(F.col("n") > sites * (1 + NEAR)).select("h").unionAll(exact.select("h"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, most_lost: float = MOST_LOST) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, most_lost: float | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, the text without boilerplate lines, and n_lines, n_removed (columns of these names are replaced).
 
-    A text that would lose over ``most_lost`` of its characters stays whole.
+    With ``most_lost`` a text that would lose over this share of its characters stays whole, with an n_removed of 0.
     A null text stays null and has no lines; an empty one has one blank line, and blank lines stay. Null sites count
-    for no line, but lines go from their documents too. Repeated rows give repeated rows.
+    for no line, but lines go from their documents too. Repeated rows give repeated rows, an empty table an empty result. A text may be
+    as long as an array of its lines can be.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.struct(*keep).alias("_r"), F.xxhash64(*[F.col(c) for c in (id_col, site_col, text_col)]).alias("_rid"), F.col(text_col).cast("string").alias("_text"))
@@ -54,8 +56,8 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     good = F.when(F.col("_bad").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x)))))
     size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x))
     out = rows.join(mine, "_rid", "left").withColumn("_all", all_lines).withColumn("_good", good)
-    whole = size(F.col("_all")) - size(F.col("_good")) > most_lost * size(F.col("_all"))
-    out = out.withColumn("_kept", F.when(F.col("_bad").isNull() | whole, F.col("_all")).otherwise(F.col("_good")))
+    whole = F.lit(False) if most_lost is None else size(F.col("_all")) - size(F.col("_good")) > most_lost * size(F.col("_all"))
+    out = out.withColumn("_kept", F.when(whole, F.col("_all")).otherwise(F.col("_good")))
     n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_all"))
     text = F.array_join("_kept", "\n")
     columns = [text.alias(c) if c == text_col else F.col("_r")[c].alias(c) for c in keep]
@@ -66,6 +68,5 @@ ORACLE_SQL = f"""
 WITH l AS (SELECT DISTINCT source, trim(x) AS line FROM (SELECT source, unnest(string_split(text, chr(10))) AS x FROM documents)),
 bad AS (SELECT list(line) AS b FROM (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {SITES})),
 d AS (SELECT doc_id, text, string_split(text, chr(10)) AS a, coalesce(b, []) AS b FROM documents, bad),
-g AS (SELECT doc_id, text, a, list_filter(a, lambda x: NOT list_contains(b, trim(x))) AS g FROM d),
-k AS (SELECT doc_id, text, a, CASE WHEN coalesce(list_sum(list_transform(a, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(g, lambda x: length(x))), 0) > {MOST_LOST} * coalesce(list_sum(list_transform(a, lambda x: length(x))), 0) THEN a ELSE g END AS k FROM g)
+k AS (SELECT doc_id, text, a, list_filter(a, lambda x: NOT list_contains(b, trim(x))) AS k FROM d)
 SELECT doc_id, CAST(coalesce(len(a), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(a) - len(k), 0) AS INTEGER) AS n_removed, md5(array_to_string(k, chr(10))) AS text_md5 FROM k"""
