@@ -1,6 +1,10 @@
 import collections
+import struct
 import zlib
 
+import xxhash
+from pyspark.sql import functions as F
+
 from wayhex.llm import queries, sharding
 
 from .common import awkward, frame
@@ -37,3 +41,33 @@ def test_awkward_rows_and_files(spark, tmp_path):
     assert sharding.external_shuffle(df.limit(0)).collect() == []
     back = sharding.write_shards(df, str(tmp_path / "out"), shards=3)
     assert back.count() == 309 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def spark_hash(value, kind, seed):
+    """xxHash64 of one value as Spark takes it: a signed number."""
+    h = xxhash.xxh64_intdigest(struct.pack(kind, value), seed % 2**64)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_order_against_a_plain_version(spark, sf):
+    """The permutation anew: hashes of places, buckets one after another, each shuffled; shards are equal runs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("place"), F.octet_length("text").alias("n")).collect()
+    buckets = -(-sum((r.n or 0) + 64 for r in rows) // 50_000)
+    keyed = [(spark_hash(r.place, "<q", spark_hash(7, "<i", 42)), r.doc_id) for r in rows]
+    order = []
+    for b in range(buckets):
+        own = [d for k, d in sorted(x for x in keyed if x[0] % buckets == b)]
+        order += [own[i] for i in sharding.fisher_yates(len(own), (7, b))]
+    n = len(order)
+    want = {}
+    for s in range(16):
+        run = [i for i in range(n) if i * 16 // n == s]
+        want |= {order[i]: (s, i - run[0]) for i in run}
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.external_shuffle(docs, seed=7, bucket_bytes=50_000).collect()}
+    assert got == want and buckets > 3
+
+
+def test_fisher_yates_is_uniform():
+    seen = collections.Counter(tuple(sharding.fisher_yates(3, (1, i))) for i in range(6000))
+    assert len(seen) == 6 and all(800 < n < 1200 for n in seen.values())

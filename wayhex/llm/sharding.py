@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .storage import written
 
@@ -21,8 +22,10 @@ from .storage import written
 SHARDS = 16
 SEED = 42
 BUCKET_BYTES = 8 << 20
-#: Buckets, and with them the counts that reach the driver, are at most so many; beyond, buckets are larger.
-MOST_BUCKETS = 1 << 20
+#: The buckets' places are a table, broadcast if it has at most so many rows of 16 bytes, and joined by sorting beyond.
+MOST_BROADCAST = 1 << 20
+#: Buckets whose counts are summed up in one task.
+RUN = 1 << 12
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -38,14 +41,15 @@ def external_shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS
     The hash takes a record's place in ``df``, so that repeated rows and hot keys scatter like any others; ``df`` should be
     a table's scan, whose rows have the same places when a task runs again. Within a bucket
     records are put in the order of that hash before they are shuffled. The shuffled buckets are written once, and
-    their sizes, which give each its run of the permutation, are counted from what was written. A null text counts as empty. Columns named shard, slot and
-    starting with _bucket or _key are replaced. An empty table gives an empty result; shards may stay empty.
+    their sizes, which give each its run of the permutation, are counted from what was written, and stay in a table. A null text counts as empty. Columns named shard, slot and
+    starting with _bucket, _key, _place or _run are replaced. An empty table gives an empty result; shards may stay empty. A record longer than
+    ``bucket_bytes`` makes its bucket that much larger. The permutation depends on the seed and on the table's files and their splits.
     """
-    own = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith(("_bucket", "_key"))]
+    own = [c for c in df.columns if c not in ("shard", "slot") and not c.startswith(("_bucket", "_key", "_place", "_run"))]
     size = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64)).first()[0]
-    buckets = max(1, min(MOST_BUCKETS, -(-(size or 0) // bucket_bytes)))
+    buckets = max(1, -(-(size or 0) // bucket_bytes))
     placed = df.select(*own, F.monotonically_increasing_id().alias("_key"))
-    placed = placed.withColumn("_key", F.xxhash64(F.lit(seed), "_key")).withColumn("_bucket", F.pmod("_key", F.lit(buckets)).cast("int"))
+    placed = placed.withColumn("_key", F.xxhash64(F.lit(seed), "_key")).withColumn("_bucket", F.pmod("_key", F.lit(buckets)))
 
     def shuffle(bucket: pa.Table) -> pa.Table:
         keys = bucket.column("_key").to_numpy()
@@ -54,21 +58,25 @@ def external_shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS
 
     schema = T.StructType([*placed.schema.fields, T.StructField("_place", T.LongType())])
     mixed = written(placed.groupBy("_bucket").applyInArrow(shuffle, schema).drop("_key"), "shuffled")
-    sizes = np.zeros(buckets, np.int64)
-    for r in mixed.groupBy("_bucket").count().collect():
-        sizes[r["_bucket"]] = r["count"]
-    total = int(sizes.sum())
-    before = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-
-    @F.pandas_udf("struct<shard:int,slot:long>")
-    def cut(bucket, place):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        at = before[bucket.to_numpy()] + place.to_numpy()
-        shard = at * shards // total
-        return pd.DataFrame({"shard": shard.astype("int32"), "slot": at - -(-shard * total // shards)})
-
-    return mixed.select(*own, cut("_bucket", "_place").alias("_cut")).select(*own, "_cut.shard", "_cut.slot")
+    before = written(bucket_starts(mixed), "buckets")
+    before = F.broadcast(before) if buckets <= MOST_BROADCAST else before
+    at = F.col("_before") + F.col("_place")
+    shard = F.expr(f"(_before + _place) * {shards} div _total")
+    out = mixed.join(before, "_bucket").select(*own, shard.cast("int").alias("shard"), at.alias("_at"), "_total")
+    # the first place of shard s is the least n with n * shards >= s * total
+    return out.select(*own, "shard", (F.col("_at") - F.expr(f"(shard * _total + {shards - 1}) div {shards}")).alias("slot"))
+
+
+def bucket_starts(mixed: DataFrame) -> DataFrame:
+    """(_bucket, _before, _total): the number of records in lower buckets and in all, by prefix sums in runs of RUN buckets."""
+    sizes = mixed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", F.expr(f"_bucket div {RUN}"))
+    runs = sizes.groupBy("_run").agg(F.sum("_n").alias("_s"))
+    lower = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = runs.select("_run", F.coalesce(F.sum("_s").over(lower), F.lit(0)).alias("_low"), F.sum("_s").over(everything).alias("_total"))
+    inside = Window.partitionBy("_run").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    return sizes.join(runs, "_run").select("_bucket", (F.col("_low") + F.col("_in")).alias("_before"), "_total")
 
 
 def write_shards(df: DataFrame, path: str, **options) -> DataFrame:  # noqa: ANN003
