@@ -13,10 +13,17 @@ from ..functions.cells import DEG, EARTH_M
 from ..functions.scalars import hash60, haversine_km
 
 
+CHUNK = 1 << 16
+
+
 def positions(df: DataFrame, order: str, out: str = "_i") -> DataFrame:
-    """Adds each row's place (from 0) in the order of a long column, counted by chunks so that no task sees all rows."""
-    chunk = F.floor(F.col(order) / (1 << 16))
-    rows = df.withColumn("_c", chunk)
+    """Adds each row's place (from 0) in the order of a long column, counted by chunks so that no task sees all rows.
+
+    Chunks are equal parts of the column's range, as many as make CHUNK rows each if values are spread evenly, as ids and hashes are.
+    """
+    ends = df.agg(F.min(order).cast("double").alias("_least"), F.max(order).cast("double").alias("_most"), F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts"))
+    chunk = F.floor((F.col(order) - F.col("_least")) / (F.col("_most") - F.col("_least") + 1) * F.col("_parts"))
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_c", chunk).drop("_least", "_most", "_parts")
     before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).select("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
     return rows.join(sizes, "_c").withColumn(out, F.col("_b") + F.row_number().over(Window.partitionBy("_c").orderBy(order)) - 1).drop("_c", "_b")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,9 @@ from pyspark.sql.window import Window
 from ..config import MemoryConfig
 from ..functions import cells
 from ..functions.scalars import hash60
-from ..functions.vectors import cosine, cosines
+from ..functions.vectors import cosine, cosines, search
 from . import sketch
-from .slots import assign_slots
+from .slots import assign_slots, last_slot
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ def observe(df: DataFrame, cfg: MemoryConfig, grid: cells.HexGrid) -> Memory:
     """From (seq, ts, lat, lng, item, ...): every row moves the clock, invalid coordinates and empty items are rejected."""
     rows = assign_slots(df, cfg.window_sec).withColumn("cell", grid.encode(F.col("lat"), F.col("lng"), cfg.resolution))
     good = F.col("cell").isNotNull() & (F.coalesce(F.length("item"), F.lit(0)) > 0)
-    return Memory(cfg, grid, rows.filter(good), rows.filter(~good), rows.agg(F.max("slot").alias("last_slot")))
+    return Memory(cfg, grid, rows.filter(good), rows.filter(~good), last_slot(df, cfg.window_sec))
 
 
 def window_aggregate(mem: Memory, n: int | None = None) -> DataFrame:
@@ -56,9 +58,17 @@ def tiles(mem: Memory) -> DataFrame:
 
 def tile_summary(mem: Memory) -> DataFrame:
     """(cell, seen, current, total, t_min, t_max): distinct items now and over all live slots; zeros for a cell that has aged out."""
-    now = window_aggregate(mem, 0).select("cell", F.col("count").alias("current"))
-    out = tiles(mem).join(window_aggregate(mem).withColumnRenamed("count", "total"), "cell", "left").join(now, "cell", "left")
-    return out.select("cell", "seen", F.coalesce("current", F.lit(0.0)).alias("current"), F.coalesce("total", F.lit(0.0)).alias("total"), "t_min", "t_max")
+    p = mem.cfg.precision
+    rows = mem.valid.crossJoin(F.broadcast(mem.last)).select("cell", "ts", hash60(F.col("item")).alias("_h"), (F.col("last_slot") - F.col("slot")).alias("_age"))
+    j, rho = sketch.register(F.col("_h"), p)
+    live, now = F.col("_age") < mem.cfg.capacity, F.col("_age") <= 0
+    # one pass: a register of a cell holds its greatest rank now and over all live slots, the interval and the rows ever seen
+    regs = rows.select("cell", "ts", "_age", j.alias("j"), rho.alias("rho")).groupBy("cell", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(live, F.col("rho"))).alias("all"), F.max(F.when(now, F.col("rho"))).alias("now"), F.min(F.when(live, F.col("ts"))).alias("a"), F.max(F.when(live, F.col("ts"))).alias("b")
+    )
+    powers = lambda c: F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col(c))), F.lit(0.0))
+    out = regs.groupBy("cell").agg(F.sum("n").alias("seen"), F.count("all").alias("_k"), powers("all").alias("_p"), F.count("now").alias("_c"), powers("now").alias("_q"), F.min("a").alias("t_min"), F.max("b").alias("t_max"))
+    return out.select("cell", "seen", sketch.estimate_of(F.col("_c"), F.col("_q"), p).alias("current"), sketch.estimate_of(F.col("_k"), F.col("_p"), p).alias("total"), "t_min", "t_max")
 
 
 def window_count(mem: Memory, points: DataFrame, n: int) -> DataFrame:
@@ -86,33 +96,48 @@ def exemplars(mem: Memory, size: int | None = None) -> DataFrame:
     return keyed.withColumn("pick", pick).filter(F.col("pick") <= size).drop("_key")
 
 
-QUERY_BLOCK = 256
+#: A stated query set goes out with the functions that scan the bank, in blocks of at most so many bytes; a set up to this size is one scan.
+BLOCK_BYTES = 32 << 20
 
 
-def score(bank: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list]]:
+    """(ids, vectors) of (qid, qvec), a block at a time."""
+    ids, vectors, size = [], [], 0
+    for r in queries.select("qid", "qvec").toLocalIterator():
+        ids.append(r["qid"])
+        vectors.append(r["qvec"])
+        size += 8 * len(r["qvec"] or ()) + 16
+        if size >= block_bytes:
+            yield ids, vectors
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield ids, vectors
+
+
+def _over_blocks(bank: DataFrame, queries: DataFrame, scan: Callable[[list, list], DataFrame], block_bytes: int) -> DataFrame:
+    parts = [scan(ids, vectors) for ids, vectors in query_blocks(queries, block_bytes)]
+    if not parts:
+        return bank.drop("vec").limit(0).withColumn("qid", F.lit(None).cast(queries.schema["qid"].dataType)).withColumn("sim", F.lit(None).cast("double"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def score(bank: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every exemplar (…, vec) against every query (qid, qvec): the bank's columns without vec, and qid, sim. Vectors that don't fit are skipped.
 
-    The query set comes to the driver a block at a time and goes out with a matrix product over the bank; no join pairs rows.
+    Matrix products over the bank; no join pairs rows. Where only the best are wanted, best_hits() lets no more leave the scan.
     """
-    found = None
-    rows: list = []
 
-    def with_block(done: DataFrame | None) -> DataFrame:
-        ids = F.lit([r["qid"] for r in rows])
-        sims = F.posexplode(cosines(F.col("vec"), [r["qvec"] for r in rows])).alias("_q", "sim")
+    def scan(ids: list, vectors: list) -> DataFrame:
+        sims = F.posexplode(cosines(F.col("vec"), vectors)).alias("_q", "sim")
         keep = [c for c in bank.columns if c != "vec"]
-        part = bank.select(*keep, sims).filter("sim is not null").select(*keep, F.get(ids, F.col("_q")).cast(queries.schema["qid"].dataType).alias("qid"), F.round("sim", 9).alias("sim"))
-        return part if done is None else done.unionAll(part)
+        return bank.select(*keep, sims).filter("sim is not null").select(*keep, F.get(F.lit(ids), F.col("_q")).cast(queries.schema["qid"].dataType).alias("qid"), F.round("sim", 9).alias("sim"))
 
-    for r in queries.select("qid", "qvec").toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            found, rows = with_block(found), []
-    if rows:
-        found = with_block(found)
-    if found is None:
-        return bank.drop("vec").limit(0).withColumn("qid", F.lit(None).cast(queries.schema["qid"].dataType)).withColumn("sim", F.lit(None).cast("double"))
-    return found
+    return _over_blocks(bank, queries, scan, block_bytes)
+
+
+def best_hits(bank: DataFrame, queries: DataFrame, top: int, order: str = "seq", group: str | None = None, cap: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As score(), but only rows that can be among a query's best ``top``, with at most ``cap`` of a group: chosen in each batch, before anything is shuffled."""
+    return _over_blocks(bank, queries, lambda ids, vectors: search(bank, "vec", ids, vectors, queries.schema["qid"].dataType, top, order, group, max(1, min(cap, top))), block_bytes)
 
 
 def rank_hits(scored: DataFrame, top: int, cap: int = 1, time: str = "ts") -> DataFrame:
@@ -131,7 +156,7 @@ def recall(mem: Memory, bank: DataFrame, queries: DataFrame, top: int, cap: int
     """
     own = queries.select("qid", "qvec")
     if k is None:
-        scored = score(bank, own)
+        scored = best_hits(bank, own, top, "seq", "cell", cap)
     else:
         at = queries.withColumn("_c", mem.grid.encode(F.col("lat"), F.col("lng"), mem.cfg.resolution)).filter("_c is not null")
         near = cells.disk(at.select("qid", "qvec", "_c"), "_c", k, "cell").drop("_c")
@@ -141,3 +166,14 @@ def recall(mem: Memory, bank: DataFrame, queries: DataFrame, top: int, cap: int
     merged = window_aggregate(Memory(mem.cfg, mem.grid, mem.valid.join(wanted, "cell", "left_semi"), mem.rejects, mem.last))
     out = hits.join(merged, "cell", "left")
     return out.select("qid", "rank", "cell", "sim", F.col("ts").alias("exemplar_t"), "t_min", "t_max", F.coalesce("count", F.lit(0.0)).alias("count"))
+
+
+def probe(mem: Memory, bank: DataFrame, queries: DataFrame, cap: int = 1, k: int | None = None) -> DataFrame:
+    """(qid, total_found): how many hits recall() would rank if nothing were cut, without scoring any: at most ``cap`` exemplars of each cell in reach."""
+    per = bank.groupBy("cell").agg(F.least(F.count(F.lit(1)), F.lit(max(1, cap))).alias("n"))
+    if k is None:
+        return queries.select("qid").crossJoin(F.broadcast(per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_found"))))
+    at = queries.withColumn("_c", mem.grid.encode(F.col("lat"), F.col("lng"), mem.cfg.resolution)).filter("_c is not null")
+    near = cells.disk(at.select("qid", "_c"), "_c", k, "cell").drop("_c")
+    found = near.join(per, "cell").groupBy("qid").agg(F.sum("n").alias("total_found"))
+    return queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("total_found", F.lit(0)).alias("total_found"))

@@ -64,6 +64,15 @@ def episodes(df: DataFrame, gap_sec: float, keys: list[str], ts: str = "ts", ord
     return df.withColumn("_new", new).withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def merge_intervals(intervals: DataFrame) -> DataFrame:
+    """(qid, start, end): the union of each question's intervals, as intervals that don't meet."""
+    before = Window.partitionBy("qid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("qid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
+    rows = intervals.filter("start <= end").select("qid", "start", "end").withColumn("_new", new).withColumn("_i", F.sum("_new").over(upto))
+    return rows.groupBy("qid", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
+
+
 def question_strata(truth: DataFrame, frames: DataFrame, gap_sec: float, bin_sec: float) -> DataFrame:
     """Per question of truth (qid, start, end) over frames (seq, ts, cell): target cell, support, exposure, visits, age and strata.
 
@@ -73,7 +82,7 @@ def question_strata(truth: DataFrame, frames: DataFrame, gap_sec: float, bin_sec
     from .align import nearest, within
 
     session_end = frames.agg(F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("frames"))
-    inside = within(frames.select("seq", "ts", "cell"), truth, "ts", bin_sec).select("qid", "seq", "cell").distinct()
+    inside = within(frames.select("seq", "ts", "cell"), merge_intervals(truth), "ts", bin_sec).select("qid", "seq", "cell")
     votes = inside.groupBy("qid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
     modal = votes.groupBy("qid").agg(F.max_by("cell", F.struct("n", -F.col("first"))).alias("modal"), F.sum("n").alias("support"))
     spans = truth.groupBy("qid").agg(F.avg((F.col("start") + F.col("end")) / 2).alias("ts"), F.max("end").alias("last_end"), F.min("start").alias("first_start"))
@@ -96,5 +105,5 @@ def oracle_hits(retained: DataFrame, truth: DataFrame, bin_sec: float) -> DataFr
     """(qid, oracle_hit): whether any retained instant lies in any of the question's intervals."""
     from .align import within
 
-    found = within(retained.select("ts"), truth, "ts", bin_sec).select("qid").distinct().withColumn("oracle_hit", F.lit(True))
+    found = within(retained.select("ts"), merge_intervals(truth), "ts", bin_sec).select("qid").distinct().withColumn("oracle_hit", F.lit(True))
     return truth.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("oracle_hit", F.lit(False)).alias("oracle_hit"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 HASH_BITS = 60
 
@@ -42,6 +43,29 @@ def estimate(regs: DataFrame, keys: list[str], precision: int, out: str = "n_dis
     return regs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"), powers.alias("_p")).select(*keys, estimate_of(F.col("_k"), F.col("_p"), precision).alias(out))
 
 
+def over_time(obs: DataFrame, ticks: DataFrame, key: str, hash_col: str, precision: int, bucket_sec: float, capacity: int) -> DataFrame:
+    """(key, ts, n_obs, accrued, windowed) at each tick (key, ts) of obs (key, ts, hash): distinct items so far, and in the last ``capacity`` buckets up to the tick.
+
+    Buckets are epoch-aligned. Registers accrue by running maxima, a register of a key at a time; ticks needn't have rows, so the window decays in gaps.
+    """
+    j, rho = register(F.col(hash_col), precision)
+    regs = obs.select(key, "ts", j.alias("j"), rho.alias("rho"))
+    marks = ticks.select(key, "ts").distinct()
+    # a tick comes after the rows of its instant
+    at = marks.join(regs.select(key, "j").distinct(), key).select(key, "ts", "j", F.lit(None).cast("int").alias("rho"), F.lit(1).alias("tick"))
+    rows = regs.select(key, "ts", "j", "rho", F.lit(0).alias("tick")).unionAll(at).withColumn("_b", F.floor(F.col("ts") / bucket_sec).cast("long"))
+    own = Window.partitionBy(key, "j")
+    upto = own.orderBy("ts", "tick").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max("rho").over(own.orderBy("_b").rangeBetween(-(capacity - 1), -1)) if capacity > 1 else F.lit(None).cast("int")
+    inside = Window.partitionBy(key, "j", "_b").orderBy("ts", "tick").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("a", F.max("rho").over(upto)).withColumn("w", F.greatest(before, F.max("rho").over(inside))).filter("tick = 1")
+    powers = lambda c: F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col(c))), F.lit(0.0))
+    out = rows.groupBy(key, "ts").agg(F.count("a").alias("_k"), powers("a").alias("_p"), F.count("w").alias("_c"), powers("w").alias("_q"))
+    counts = obs.select(key, "ts", F.lit(1).alias("n")).unionAll(marks.select(key, "ts", F.lit(0).alias("n")))
+    seen = counts.withColumn("n_obs", F.sum("n").over(Window.partitionBy(key).orderBy("ts"))).groupBy(key, "ts").agg(F.max("n_obs").alias("n_obs"), F.min("n").alias("_m")).filter("_m = 0")
+    return out.join(seen, [key, "ts"]).select(key, "ts", "n_obs", estimate_of(F.col("_k"), F.col("_p"), precision).alias("accrued"), estimate_of(F.col("_c"), F.col("_q"), precision).alias("windowed"))
+
+
 def error_bound(precision: int) -> float:
     """The standard relative error."""
     return 1.04 / math.sqrt(1 << precision)

@@ -39,6 +39,13 @@ def assign_slots(df: DataFrame, window_sec: float, ts: str = "ts", order: str =
     return out.withColumn("slot", F.coalesce(slot, F.lit(0)).cast("long")).drop("_latest", "_t0")
 
 
+def last_slot(df: DataFrame, window_sec: float, ts: str = "ts", order: str = "seq") -> DataFrame:
+    """One row (last_slot): the greatest slot of assign_slots(), from two aggregates."""
+    ends = df.agg(F.max(ts).alias("_m"), F.min_by(F.col(ts), F.when(F.col(ts) >= 0, F.col(order))).alias("_t0"), F.count(F.lit(1)).alias("_n"))
+    slot = F.greatest(F.floor((F.col("_m") - F.col("_t0")) / window_sec), F.lit(0))
+    return ends.select(F.when(F.col("_n") > 0, F.coalesce(slot, F.lit(0))).cast("long").alias("last_slot"))
+
+
 def event_slots(df: DataFrame, window_sec: float, ts: str = "ts", out: str = "slot") -> DataFrame:
     """Adds the epoch-aligned slot floor(ts / window_sec)."""
     return df.withColumn(out, F.floor(F.col(ts) / window_sec).cast("long"))

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import hash60
+from ..functions.vectors import _unit, matrices
 
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc): the chance that a positive scores above a negative, ties half. From a histogram of scores; null without both kinds."""
     pos = F.col(positive)
-    bins = df.groupBy(*keys, score).agg(F.count_if(pos).alias("_p"), F.count_if(~pos).alias("_n"))
+    return auc_of_counts(df.select(*keys, score, pos.cast("long").alias("_pos"), (~pos).cast("long").alias("_neg")), keys, score, "_pos", "_neg")
+
+
+def auc_of_counts(df: DataFrame, keys: list[str], score: str, pos: str, neg: str) -> DataFrame:
+    """As auc(), of rows that stand for ``pos`` positives and ``neg`` negatives with one score."""
+    bins = df.groupBy(*keys, score).agg(F.sum(pos).alias("_p"), F.sum(neg).alias("_n"))
     below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = bins.withColumn("_w", F.col("_p") * (below + 0.5 * F.col("_n"))).groupBy(*keys).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_w").alias("_w"))
     return out.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
@@ -20,9 +31,15 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
 
 def adversarial_hits(df: DataFrame, keys: list[str], score: str, positive: str, ks: list[int]) -> DataFrame:
     """(keys, rank0, hit_k…): whether a positive is among the best k when tied negatives rank ahead."""
-    best = df.groupBy(*keys).agg(F.max(F.when(F.col(positive), F.col(score))).alias("_best"))
+    p = F.col(positive)
+    return adversarial_hits_of_counts(df.select(*keys, score, p.cast("long").alias("_pos"), (~p).cast("long").alias("_neg")), keys, score, "_pos", "_neg", ks)
+
+
+def adversarial_hits_of_counts(df: DataFrame, keys: list[str], score: str, pos: str, neg: str, ks: list[int]) -> DataFrame:
+    """As adversarial_hits(), of rows that stand for ``pos`` positives and ``neg`` others with one score."""
+    best = df.groupBy(*keys).agg(F.max(F.when(F.col(pos) > 0, F.col(score))).alias("_best"))
     s = F.col(score)
-    rank = F.count_if((s > F.col("_best")) | (~F.col(positive) & (s == F.col("_best"))))
+    rank = F.coalesce(F.sum(F.when(s > F.col("_best"), F.col(pos) + F.col(neg)).when(s == F.col("_best"), F.col(neg))), F.lit(0))
     out = df.join(best, keys).groupBy(*keys).agg(F.max("_best").alias("_b"), rank.alias("rank0"))
     return out.select(*keys, F.when(F.col("_b").isNotNull(), F.col("rank0")).alias("rank0"), *[(F.col("_b").isNotNull() & (F.col("rank0") < k)).alias(f"hit_{k}") for k in ks])
 
@@ -60,6 +77,38 @@ def macro_average(df: DataFrame, keys: list[str], file: str, value: str) -> Data
     return df.groupBy(*keys, file).agg(F.avg(value).alias("_v")).groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.avg("_v").alias("mean"))
 
 
+def nested_mean(df: DataFrame, levels: list[str], value: str, keep: int = 1) -> DataFrame:
+    """(the first ``keep`` levels, n, mean): means of means, level by level from the last to the kept ones; n is the number of groups at the level below."""
+    out = df.select(*levels, F.col(value).alias("mean"))
+    for k in range(len(levels), keep - 1, -1):
+        out = out.groupBy(*levels[:k]).agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("mean"))
+    return out
+
+
+def check_pairs(a: DataFrame, b: DataFrame, session: str, same: list[str], allow_unpaired: bool = False, least: int = 1) -> DataFrame:
+    """The inner join of two methods' runs (session, same…, value), a row a session; ValueError where the comparison isn't fair.
+
+    Every session needs one setting of ``same`` in each run, and the same one in both; the sets of sessions have to be equal unless
+    ``allow_unpaired``, and ``least`` sessions in common.
+    """
+    for run in (a, b):
+        if not run.groupBy(session).agg(F.count_distinct(F.struct(*same)).alias("n")).filter("n > 1").isEmpty():
+            raise ValueError("settings differ within a session")
+    left, right = (x.groupBy(session).agg(F.first(F.struct(*same)).alias(f"_{n}"), F.avg("value").alias(f"value_{n}")) for x, n in ((a, "a"), (b, "b")))
+    both = left.join(right, session, "full")
+    found = both.agg(
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("common"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("alone"),
+        F.count_if(F.col("_a") != F.col("_b")).alias("unlike"),
+    ).first()
+    if found["alone"] and not allow_unpaired:
+        raise ValueError(f"{found['alone']} sessions are in one run only")
+    if found["common"] < least:
+        raise ValueError(f"{found['common']} common sessions")
+    if found["unlike"]:
+        raise ValueError(f"inputs or settings differ in {found['unlike']} sessions")
+    return both.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(session, "value_a", "value_b")
+
+
 def by_sets(df: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
     """Means by several groupings in one pass; a column that isn't in a row's grouping is null."""
     names = list(dict.fromkeys(c for s in sets for c in s))
@@ -130,41 +179,97 @@ def candidate_counts(preds: DataFrame) -> DataFrame:
 
 
 def latency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, nearest-rank p95 (the ceil(0.95 n)-th) and interpolated p95 and p99."""
+    """Median, nearest-rank p95 (the ceil(0.95 n)-th) and interpolated p95 and p99, from a histogram of values: equal ones meet before they are shuffled."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    pick = F.max(F.when(F.col("_k") == F.ceil(0.95 * F.col("_n")), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.median(value).alias("median"), pick.alias("p95_rank"), F.percentile(value, 0.95).alias("p95"), F.percentile(value, 0.99).alias("p99"))
+    steps = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    nth = lambda k: F.min(F.when(F.col("_upto") >= k, F.col(value)))  # noqa: E731  the k-th value, from 1
+
+    def between(q: float) -> list[Column]:
+        at = q * (F.col("_n") - 1)
+        low = F.floor(at)
+        return [nth(low + 1), nth(F.least(low + 2, F.col("_n"))), F.first(at - low)]
+
+    shares = {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    parts = [c.alias(f"_{name}{i}") for name, q in shares.items() for i, c in enumerate(between(q))]
+    out = steps.groupBy(*keys).agg(*parts, nth(F.ceil(0.95 * F.col("_n"))).alias("p95_rank"))
+    mixed = {name: (F.col(f"_{name}0") + F.col(f"_{name}2") * (F.col(f"_{name}1") - F.col(f"_{name}0"))).alias(name) for name in shares}
+    return out.select(*keys, mixed["median"], "p95_rank", mixed["p95"], mixed["p99"])
+
 
+PAIR_BLOCK = 4096
+_BINS = 1 << 16
 
-def spread(df: DataFrame, vec: str, order: str, blocks: int = 16) -> DataFrame:
-    """One row: pairs, mean, population deviation, least and greatest of the cosines of all pairs of unit vectors.
 
-    Rows are dealt to blocks by hash, and a task multiplies a pair of blocks; only sums and extremes leave it.
+def spread(df: DataFrame, vec: str, order: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """One row: pairs, mean, population deviation, least and greatest, 5th and 95th percentile (interpolated) of the cosines of all pairs of vectors.
+
+    Mean and deviation follow from the sum of the unit vectors and their matrix of second moments. Extremes and
+    percentiles need the pairs: rows are dealt by hash to blocks of about ``block``, a task multiplies a pair of blocks, and only a histogram
+    of its cosines leaves it; a second pass returns the values of the bins that hold the percentiles. Rows need ``order``, a long; null and
+    empty vectors are left out. Under two vectors are an error.
     """
-    import numpy as np
+    rows = df.filter(F.size(vec) > 0).select(F.col(order).cast("long").alias("_o"), F.col(vec).alias("_v"))
+    n = rows.count()
+    if n < 2:
+        raise ValueError("a spread needs two vectors")
+    blocks = -(-n // block)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_o"), F.lit(blocks)).cast("int"))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, m in matrices(b.column(0)):
+                u = _unit(m)
+                d = u.shape[1]
+                both = np.concatenate((u.sum(axis=0), (u.T @ u).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + d * d)), pa.array(both), pa.array(np.full(len(both), d))], ["i", "x", "d"])
+
+    sums = rows.select("_v").mapInArrow(moments, "i long, x double, d long").groupBy("i").agg(F.sum("x").alias("x"), F.max("d").alias("d"))
+    pairs = n * (n - 1) // 2
+    total = sums.agg(F.sum(F.when(F.col("i") < F.col("d"), F.col("x") * F.col("x"))).alias("s"), F.sum(F.when(F.col("i") >= F.col("d"), F.col("x") * F.col("x"))).alias("q"))
+    mean = (F.col("s") - n) / (2.0 * pairs)
+    total = total.select(F.lit(pairs).cast("long").alias("pairs"), mean.alias("mean"), F.sqrt(F.greatest((F.col("q") - n) / (2.0 * pairs) - mean * mean, F.lit(0.0))).alias("sd"))
 
-    rows = df.select(F.pmod(F.xxhash64(order), F.lit(blocks)).alias("_b"), F.col(order).cast("long").alias("_o"), F.col(vec).alias("_v")).filter(F.size(vec) > 0)
     left = rows.select("_b", "_o", "_v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_c"))
-    both = left.select(F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"), "_b", "_o", "_v")
-
-    def work(rows):  # noqa: ANN001, ANN202
-        import pandas as pd
+    both = left.select(F.least("_b", "_c").alias("i"), F.greatest("_b", "_c").alias("j"), "_b", "_v")
 
+    def cosines_of(rows):  # noqa: ANN001, ANN202
         i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        m = np.stack(rows["_v"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         b = rows["_b"].to_numpy()
-        c = m @ m.T
-        keep = np.triu(np.ones_like(c, bool), 1) if i == j else (b[:, None] == i) & (b[None, :] == j)
-        c = c[keep]
-        return pd.DataFrame({"n": [len(c)], "s": [c.sum()], "q": [(c * c).sum()], "lo": [c.min() if len(c) else np.nan], "hi": [c.max() if len(c) else np.nan]})
-
-    parts = both.groupBy("i", "j").applyInPandas(work, "n long, s double, q double, lo double, hi double").filter("n > 0")
-    total = parts.agg(F.sum("n").alias("pairs"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("min"), F.max("hi").alias("max"))
-    mean = F.col("s") / F.col("pairs")
-    return total.select("pairs", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("pairs") - mean * mean, F.lit(0.0))).alias("sd"), "min", "max")
-
+        unit = lambda own: _unit(np.stack(own.to_numpy()).astype(np.float64)) if len(own) else None
+        x, y = unit(rows["_v"][b == i]), unit(rows["_v"][b == j])
+        if x is None or y is None:
+            return np.zeros(0)
+        c = np.round(np.clip(x @ y.T, -1.0, 1.0), 12)
+        return c[np.triu_indices(len(c), 1)] if i == j else c.ravel()
+
+    def histogram(rows):  # noqa: ANN001, ANN202
+        c = cosines_of(rows)
+        bins, count = np.unique(np.minimum((c + 1) * (_BINS / 2), _BINS - 1).astype(np.int64), return_counts=True)
+        return pd.DataFrame({"bin": bins, "n": count, "lo": c.min() if len(c) else np.nan, "hi": c.max() if len(c) else np.nan})
+
+    found = both.groupBy("i", "j").applyInPandas(histogram, "bin long, n long, lo double, hi double").groupBy("bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("bin").toPandas()
+    upto = found["n"].cumsum().to_numpy()
+    ranks = {q: (int(np.floor(q * (pairs - 1))), q * (pairs - 1) % 1) for q in (0.05, 0.95)}
+    wanted = sorted({int(np.searchsorted(upto, k, "right")) for r, _ in ranks.values() for k in (r, min(r + 1, pairs - 1))})
+    own = found["bin"].to_numpy()[wanted]
+
+    def values(rows):  # noqa: ANN001, ANN202
+        c = cosines_of(rows)
+        c = c[np.isin(np.minimum((c + 1) * (_BINS / 2), _BINS - 1).astype(np.int64), own)]
+        v, count = np.unique(c, return_counts=True)
+        return pd.DataFrame({"v": v, "n": count})
+
+    near = both.groupBy("i", "j").applyInPandas(values, "v double, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy("v").toPandas()
+    bins = np.minimum((near["v"].to_numpy() + 1) * (_BINS / 2), _BINS - 1).astype(np.int64)
+
+    def at(k: int) -> float:
+        place = int(np.searchsorted(upto, k, "right"))
+        inside = near[bins == found["bin"].iloc[place]]
+        return float(inside["v"].iloc[int(np.searchsorted(inside["n"].cumsum().to_numpy(), k - (upto[place - 1] if place else 0), "right").clip(0, len(inside) - 1))])
+
+    marks = {f"p{round(100 * q):02d}": at(r) + part * (at(min(r + 1, pairs - 1)) - at(r)) for q, (r, part) in ranks.items()}
+    return total.select("*", F.lit(float(found["lo"].min())).alias("min"), F.lit(float(found["hi"].max())).alias("max"), *[F.lit(v).alias(k) for k, v in marks.items()])
 
 
 def grid(spark, **values: list) -> DataFrame:  # noqa: ANN001

@@ -173,25 +173,34 @@ c AS (SELECT qid, sim, cell = qcell AND session <> qdrive AS pos, NOT (cell = qc
 
 
 def labelled(spark, sf):
-    """Every frame against every question: positive in the place of the question's first frame on another drive; same place and drive is apart."""
-    f = data.with_vectors(frames(spark, sf), spark, sf).drop("vec", "label", "ts", "day")
-    first = f.groupBy(F.col("vec_id").alias("qid")).agg(F.min_by("cell", "seq").alias("qcell"), F.min_by("session", "seq").alias("qdrive"))
-    sims = memory.score(data.vectors(spark, sf).select("vec_id", "vec"), data.questions(spark, sf).select("qid", "qvec"))
-    rows = f.join(sims, "vec_id").join(first, "qid")
-    here, own = F.col("cell") == F.col("qcell"), F.col("session") == F.col("qdrive")
-    return rows.select("qid", "sim", (here & ~own).alias("pos"), (~(here & own)).alias("cand"))
+    """(qid, sim, pos, other, apart): frames by vector against every question, as counts.
+
+    Positive is a frame in the place of the question's first frame on another drive; one of the same place and drive is apart; others
+    are all the rest. Frames are counted by vector, place and drive before they meet a question, and only those of its place do.
+    """
+    f = data.with_vector_ids(frames(spark, sf).select("seq", "cell", "session"), spark, sf)
+    first = f.filter("vec_id % 20 = 0").groupBy(F.col("vec_id").alias("qid")).agg(F.min_by("cell", "seq").alias("qcell"), F.min_by("session", "seq").alias("qdrive"))
+    counts = f.groupBy("vec_id", "cell", "session").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    own = F.col("session") == F.col("qdrive")
+    here = counts.join(first, F.col("cell") == F.col("qcell")).groupBy("qid", "vec_id").agg(F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("pos"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("apart"))
+    sims = memory.score(data.vectors(spark, sf).select("vec_id", "vec").join(total, "vec_id"), data.questions(spark, sf).select("qid", "qvec"))
+    rows = sims.join(first.select("qid"), "qid", "left_semi").join(here, ["qid", "vec_id"], "left")
+    pos, apart = F.coalesce("pos", F.lit(0)), F.coalesce("apart", F.lit(0))
+    return rows.select("qid", "sim", pos.alias("pos"), (F.col("n") - pos - apart).alias("other"), apart.alias("apart"))
 
 
 @query(f"""{LABELLED}, b AS (SELECT qid, sim, count_if(pos) AS p, count_if(NOT pos) AS n FROM c WHERE cand GROUP BY qid, sim), w AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY qid ORDER BY sim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.5 * n) AS w FROM b)
 SELECT qid, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(w) / (sum(p) * sum(n))::DOUBLE, 6) END AS auc FROM w GROUP BY qid""")
 def cross_session_auc(spark, sf):
-    return stats.auc(labelled(spark, sf).filter("cand"), ["qid"], "sim", "pos").withColumn("auc", r6("auc"))
+    return stats.auc_of_counts(labelled(spark, sf), ["qid"], "sim", "pos", "other").withColumn("auc", r6("auc"))
 
 
 @query(f"""{LABELLED}, m AS (SELECT qid, max(CASE WHEN pos THEN sim END) AS best FROM c GROUP BY qid), r AS (SELECT qid, any_value(best) AS best, count_if(sim > best OR (NOT pos AND sim = best)) AS rank0 FROM c JOIN m USING (qid) GROUP BY qid)
 SELECT qid, CASE WHEN best IS NOT NULL THEN rank0::BIGINT END AS rank0, best IS NOT NULL AND rank0 < 1 AS hit_1, best IS NOT NULL AND rank0 < 5 AS hit_5, best IS NOT NULL AND rank0 < 100 AS hit_100 FROM r""")
 def hit_at_k_adversarial(spark, sf):
-    return stats.adversarial_hits(labelled(spark, sf), ["qid"], "sim", "pos", [1, 5, 100])
+    rows = labelled(spark, sf).withColumn("other", F.col("other") + F.col("apart"))
+    return stats.adversarial_hits_of_counts(rows, ["qid"], "sim", "pos", "other", [1, 5, 100])
 
 
 SIGNED = core.SCORED.replace("round(list_dot_product(vec, qvec) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(qvec, qvec))), 9)", "round(list_dot_product(list_transform(vec, lambda x: sign(x)::DOUBLE), qvec) / (8 * sqrt(list_dot_product(qvec, qvec))), 9)").replace("sc AS", "sc2 AS")
@@ -206,7 +215,7 @@ def codec_drift(spark, sf):
     own = core.bank(spark, sf)
     signs = own.withColumn("vec", F.transform("vec", lambda x: F.signum(x).cast("float")))
     q = data.questions(spark, sf).select("qid", "qvec")
-    a, b = (memory.rank_hits(memory.score(x, q), 5) for x in (own, signs))
+    a, b = (memory.rank_hits(memory.best_hits(x, q, 5, "seq", "cell"), 5) for x in (own, signs))
     out = stats.drift(a, b, 5)
     return out.select("qid", r6("jaccard").alias("jaccard"), "same_top", r6("delta").alias("delta"), r6("spearman").alias("spearman"))
 
@@ -286,10 +295,10 @@ def paired_bootstrap(spark, sf):
 # small analytics
 
 
-@query(f"WITH {VEC}, p AS (SELECT list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS c FROM vec a JOIN vec b ON a.vec_id < b.vec_id) SELECT count(*) AS pairs, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd, round(min(c), 6) AS min, round(max(c), 6) AS max FROM p")
+@query(f"WITH {VEC}, p AS (SELECT list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS c FROM vec a JOIN vec b ON a.vec_id < b.vec_id) SELECT count(*) AS pairs, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd, round(min(c), 6) AS min, round(max(c), 6) AS max, round(quantile_cont(c, 0.05), 6) AS p05, round(quantile_cont(c, 0.95), 6) AS p95 FROM p")
 def embedding_spread(spark, sf):
     out = stats.spread(data.vectors(spark, sf), "vec", "vec_id")
-    return out.select("pairs", *(r6(c).alias(c) for c in ("mean", "sd", "min", "max")))
+    return out.select("pairs", *(r6(c).alias(c) for c in ("mean", "sd", "min", "max", "p05", "p95")))
 
 
 @query(f"WITH {FRAMES} SELECT session, count(DISTINCT cell) AS cells, count(DISTINCT cell) * (8 * 64 * 4 + {CFG.capacity * (1 << CFG.precision)}) AS bytes, max(ceil((ts1 - ts0) / 3600e0))::BIGINT + 1 AS capacity FROM (SELECT *, min(ts) OVER (PARTITION BY session) AS ts0, max(ts) OVER (PARTITION BY session) AS ts1 FROM f) GROUP BY session")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cells, scalars
+from ..functions.vectors import cosine
 from ..operators import align, memory, score
 from ..operators.slots import assign_slots
 from . import data
@@ -129,17 +130,25 @@ def similar_cap_n(spark, sf):
 ALL = f"WITH {OBS}, {VEC}, {QUE}, sim AS (SELECT qid, vec_id, {COS} AS sim FROM vec, que), sc AS (SELECT qid, seq, ts, sim FROM o JOIN sim ON seq % (SELECT any_value(nvec) FROM vec) = vec_id)"
 
 
-def all_scored(spark, sf):
-    """Every observation against every question: scores once per vector, then joined to its observations."""
-    v = data.vectors(spark, sf)
-    sims = memory.score(v.select("vec_id", "vec"), data.questions(spark, sf).select("qid", "qvec"))
-    return data.with_vectors(data.observations(spark, sf).select("seq", "ts"), spark, sf).drop("vec", "label").join(sims, "vec_id")
+def leaders(spark, sf, top):
+    """(qid, rank, seq, ts, sim): the best observations of each question.
+
+    Vectors are ranked first, by similarity and their first observation: only the ``top`` best of them, and the first ``top`` observations of each, can be among the result.
+    """
+    o = data.with_vector_ids(data.observations(spark, sf).select("seq", "ts"), spark, sf)
+    early = o.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("seq"))).filter(F.col("k") <= top)
+    first = early.filter("k = 1").select("vec_id", F.col("seq").alias("first"))
+    seen = data.vectors(spark, sf).select("vec_id", "vec").join(first, "vec_id")
+    best = memory.best_hits(seen, data.questions(spark, sf).select("qid", "qvec"), top, "first")
+    near = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "first"))
+    best = best.withColumn("k", near).filter(F.col("k") <= top).drop("k", "first")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "seq"))
+    return best.join(early.drop("k"), "vec_id").withColumn("rank", rank).filter(F.col("rank") <= top).select("qid", "rank", "seq", "ts", "sim")
 
 
 @query(f"{ALL} SELECT qid, rank, seq, sim FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, seq) AS rank FROM sc) WHERE rank <= 5")
 def brute_force_topk(spark, sf):
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "seq"))
-    return all_scored(spark, sf).withColumn("rank", best).filter("rank <= 5").select("qid", "rank", "seq", "sim")
+    return leaders(spark, sf, 5).select("qid", "rank", "seq", "sim")
 
 
 @query(f"WITH {OBS}, b AS (SELECT *, floor(ts / 21600e0)::BIGINT AS bin FROM o) SELECT bin, seq FROM (SELECT bin, seq, row_number() OVER (PARTITION BY bin ORDER BY round(abs(ts - (bin + 0.5e0) * 21600e0), 6), seq) AS k FROM b) WHERE k = 1")
@@ -172,10 +181,12 @@ re AS (SELECT p.qid, p.seq, p.r0, round(avg(c.sim), 9) AS pooled FROM pool p JOI
 SELECT qid, rank, seq, round(pooled, 6) AS pooled FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pooled DESC, r0) AS rank FROM re) WHERE rank <= 5""")
 def temporal_pool_rerank(spark, sf):
     """The best 20 frames, re-ranked by the mean similarity of the frames at most 900 s away, cut to 5."""
-    sc = all_scored(spark, sf).select("qid", "seq", "ts", "sim")
-    first = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "seq"))
-    pool = sc.withColumn("r0", first).filter("r0 <= 20").select("qid", "r0", F.col("seq").alias("top_seq"), (F.col("ts") - 900).alias("start"), (F.col("ts") + 900).alias("end"))
-    near = align.within(sc, pool, "ts", 3600.0, ["qid"]).groupBy("qid", "top_seq", "r0").agg(F.round(F.avg("sim"), 9).alias("pooled"))
+    pool = leaders(spark, sf, 20).select("qid", F.col("rank").alias("r0"), F.col("seq").alias("top_seq"), (F.col("ts") - 900).alias("start"), (F.col("ts") + 900).alias("end"))
+    near = align.within(data.with_vector_ids(data.observations(spark, sf).select("seq", "ts"), spark, sf), pool, "ts", 3600.0).select("qid", "r0", "top_seq", "vec_id")
+    # only pairs of a question and a vector that is near one of its leaders are scored
+    pairs = near.select("qid", "vec_id").distinct().join(data.questions(spark, sf).select("qid", "qvec"), "qid").join(data.vectors(spark, sf).select("vec_id", "vec"), "vec_id")
+    sims = pairs.select("qid", "vec_id", F.round(cosine(F.col("vec"), F.col("qvec")), 9).alias("sim"))
+    near = near.join(sims, ["qid", "vec_id"]).groupBy("qid", "top_seq", "r0").agg(F.round(F.avg("sim"), 9).alias("pooled"))
     again = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("pooled"), "r0"))
     return near.withColumn("rank", again).filter("rank <= 5").select("qid", "rank", F.col("top_seq").alias("seq"), r6("pooled").alias("pooled"))
 

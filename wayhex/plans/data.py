@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, ts, session, day, lat, lng, item, value) of all events, at derived places."""
+    """observed() of all events."""
+    return observed(table(spark, sf_dir, "events"))
+
+
+def observed(events: DataFrame) -> DataFrame:
+    """(seq, ts, session, day, lat, lng, item, value) of events, at derived places."""
     e, u = F.col("event_id"), F.col("user_id")
     lat = 37.0 + (u % 10) * 2e-2 + ((e * 7919) % 1000) / 1e6
     lng = -122.0 + (u % 7) * 2e-2 + ((e * 104729) % 1000) / 1e6
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, sf_dir, "events").select(e.alias("seq"), ts.alias("ts"), u.alias("session"), F.to_date("ts").alias("day"), lat.alias("lat"), lng.alias("lng"), F.concat("event_type", F.lit("|"), "props").alias("item"), "value")
+    return events.select(e.alias("seq"), ts.alias("ts"), u.alias("session"), F.to_date("ts").alias("day"), lat.alias("lat"), lng.alias("lng"), F.concat("event_type", F.lit("|"), "props").alias("item"), "value")
 
 
 def memory(spark: SparkSession, sf_dir: str, cfg: MemoryConfig = CFG) -> Memory:
@@ -44,6 +49,12 @@ def with_vectors(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("seq") % F.col("_n")).drop("_n").join(v, "vec_id")
 
 
+def with_vector_ids(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As with_vectors(), with the vector's id alone."""
+    n = vectors(spark, sf_dir).agg(F.count(F.lit(1)).alias("_n"))
+    return df.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("seq") % F.col("_n")).drop("_n")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query set: every embedding whose id is divisible by 20, as (qid, qvec, category, lat, lng)."""
     q = vectors(spark, sf_dir).filter("vec_id % 20 = 0")
@@ -52,7 +63,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, start, end): around every observation of a question's vector."""
-    seen = with_vectors(observations(spark, sf_dir), spark, sf_dir).select(F.col("vec_id").alias("qid"), "ts")
+    seen = with_vector_ids(observations(spark, sf_dir).select("seq", "ts"), spark, sf_dir).select(F.col("vec_id").alias("qid"), "ts")
     return seen.join(questions(spark, sf_dir).select("qid"), "qid").select("qid", (F.col("ts") - GT_SEC).alias("start"), (F.col("ts") + GT_SEC).alias("end"))
 
 
