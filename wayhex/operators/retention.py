@@ -7,7 +7,11 @@ the cell, cell), which needs no loop.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +19,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import hash60
 from .geo import positions
 from .score import episodes
+from .sequential import follow
 
 
 def _key(seed: int, *parts: str) -> Column:
@@ -68,12 +73,20 @@ def visit_balanced(frames: DataFrame, budget: int, gap_sec: float, seed: int = 4
     return rows.orderBy("_r", _key(seed, "cell"), "cell").limit(budget).drop("_r", "_e", "episode")
 
 
-def kcenter(frames: DataFrame, budget: int, seed: int = 42) -> DataFrame:
-    """Farthest-first by cosine over (seq, vec), unit vectors: adds pick (from 0). One job per pick; the picks alone are on the driver."""
-    first = frames.select("seq", "vec").orderBy(_key(seed, "seq"), "seq").limit(1).collect()
-    chosen = [(r["seq"], np.array(r["vec"], np.float64)) for r in first]
+#: Rows that a pass of kcenter brings to the driver at most.
+LEADERS = 1024
+
+
+def kcenter(frames: DataFrame, budget: int, seed: int = 42, leaders: int = LEADERS) -> DataFrame:
+    """Farthest-first by cosine over (seq, vec), unit vectors: adds pick (from 0).
+
+    A frame's greatest similarity to the picks only grows. So a pass scans all frames once against the picks so far and brings the
+    ``leaders`` of least similarity to the driver; picks are made among them as long as the best is no worse than the last
+    of them was, as no other frame can be. A pass gives many picks, and nothing but picks and leaders is on the driver.
+    """
+    chosen = [(r["seq"], np.array(r["vec"], np.float64)) for r in frames.select("seq", "vec").orderBy(_key(seed, "seq"), "seq").limit(1).collect()]
     while chosen and len(chosen) < budget:
-        centers, seen = np.stack([v for _, v in chosen]), {s for s, _ in chosen}
+        centers = np.stack([v for _, v in chosen])
 
         @F.pandas_udf("double")
         def nearest(vec, centers=centers):  # noqa: ANN001, ANN202
@@ -81,59 +94,109 @@ def kcenter(frames: DataFrame, budget: int, seed: int = 42) -> DataFrame:
 
             return pd.Series((np.stack(vec.to_numpy()).astype(np.float64) @ centers.T).max(axis=1)) if len(vec) else pd.Series([], dtype=float)
 
-        rest = frames.filter(~F.col("seq").isin([int(s) for s in seen])).select("seq", "vec", F.round(nearest("vec"), 9).alias("_s"))
-        best = rest.orderBy("_s", "seq").limit(1).collect()
-        if not best:
+        picks = frames.sparkSession.createDataFrame([(int(s),) for s, _ in chosen], "seq long")
+        rest = frames.select("seq", "vec").join(F.broadcast(picks), "seq", "left_anti").withColumn("_s", F.round(nearest("vec"), 9))
+        found = rest.orderBy("_s", "seq").limit(leaders).collect()
+        if not found:
             break
-        chosen.append((best[0]["seq"], np.array(best[0]["vec"], np.float64)))
+        seqs, vectors = np.array([r["seq"] for r in found]), np.stack([np.array(r["vec"], np.float64) for r in found])
+        near = np.array([r["_s"] for r in found])
+        worst = (near[-1], seqs[-1]) if len(found) == leaders else (np.inf, 0)
+        left = np.ones(len(found), bool)
+        while left.any() and len(chosen) < budget:
+            own = np.flatnonzero(left)
+            best = own[np.lexsort((seqs[own], near[own]))[0]]
+            if (near[best], seqs[best]) > worst:
+                break
+            left[best] = False
+            chosen.append((int(seqs[best]), vectors[best]))
+            near = np.maximum(near, np.round(vectors @ vectors[best], 9))
     picks = frames.sparkSession.createDataFrame([(int(s), i) for i, (s, _) in enumerate(chosen)], "seq long, pick int")
     return frames.join(F.broadcast(picks), "seq")
 
 
+class BalancedBank:
+    """At most ``size`` frames, shared out evenly over the cells met so far. Every choice goes by given ranks, so that equal streams give equal banks.
+
+    Cells stand in a heap by (share, rank), the largest share and least rank on top; an entry counts only while the share is still right. A cell's
+    frames stand in a heap by rank, the greatest on top, so that a cell of a constant share holds a uniform sample: those of least rank.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.total = size, 0
+        self.held: dict[object, list[tuple[int, int]]] = {}
+        self.rank: dict[object, int] = {}
+        self.order: list[tuple[int, int, object]] = []
+
+    def _resize(self, cell: object, by: int) -> None:
+        self.total += by
+        if self.held[cell]:
+            heapq.heappush(self.order, (-len(self.held[cell]), self.rank[cell], cell))
+
+    def _largest(self) -> object:
+        while len(self.held[self.order[0][2]]) != -self.order[0][0]:
+            heapq.heappop(self.order)
+        return self.order[0][2]
+
+    def _add(self, cell: object, frame: tuple[int, int]) -> None:
+        heapq.heappush(self.held[cell], frame)
+        self._resize(cell, 1)
+
+    def _drop(self, cell: object) -> None:
+        heapq.heappop(self.held[cell])
+        self._resize(cell, -1)
+
+    def offer(self, cell: object, cell_rank: int, frame_rank: int, number: int) -> None:
+        own = self.held.setdefault(cell, [])
+        self.rank[cell] = cell_rank
+        frame = (-frame_rank, number)
+        if self.total < self.size:
+            self._add(cell, frame)
+            return
+        donor = self._largest() if self.size else None
+        if donor is None:
+            return
+        share = len(self.held[donor])
+        if len(own) < share:
+            # a share of one is not split: between cells their ranks decide
+            if share > 1 or cell_rank > self.rank[donor]:
+                self._drop(donor)
+                self._add(cell, frame)
+        elif frame > own[0]:
+            heapq.heapreplace(own, frame)
+
+
 def spatial_priority(frames: DataFrame, budget: int, session: str = "session", seed: int = 42) -> DataFrame:
     """A causal bank of exactly min(budget, n) frames per session that balances the cells seen so far.
 
     When the bank is full, a frame of a cell with less than the largest share takes the place of a random frame
-    of a cell with the largest; with more cells than slots, cells of higher random priority stay.
-    A frame of a cell with the largest share replaces one of its own cell as in reservoir sampling. Sequential: a task for each session.
+    of a cell with the largest; with more cells than slots, cells of greater rank stay.
+    A frame of a cell with the largest share enters as in reservoir sampling. Ranks are hashes. A task follows each session, and keeps its bank and a batch.
     """
-
-    def keep(rows):  # noqa: ANN001, ANN202
-        rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng([seed, len(rows)])
-        cells = rows["cell"].tolist()
-        priority = dict(zip(dict.fromkeys(cells), rng.permutation(len(set(cells))).tolist()))
-        bank: dict[int, list[int]] = {}
-        seen: dict[int, int] = {}
-        total = 0
-        for i, cell in enumerate(cells):
-            seen[cell] = seen.get(cell, 0) + 1
-            own = bank.get(cell, [])
-            if total < budget:
-                bank.setdefault(cell, []).append(i)
-                total += 1
-                continue
-            largest = max(map(len, bank.values()), default=0)
-            if len(own) < largest:
-                donors = [c for c, held in bank.items() if len(held) == largest]
-                if largest == 1:
-                    donor = min(donors, key=priority.__getitem__)
-                    if priority[cell] <= priority[donor]:
-                        continue
-                else:
-                    donor = donors[int(rng.integers(len(donors)))]
-                held = bank[donor]
-                held.pop(int(rng.integers(len(held))))
-                if not held:
-                    del bank[donor]
-                bank.setdefault(cell, []).append(i)
-            elif own:
-                slot = int(rng.integers(seen[cell]))
-                if slot < len(own):
-                    own[slot] = i
-        return rows.iloc[sorted(i for held in bank.values() for i in held)]
-
-    return frames.groupBy(session).applyInPandas(keep, frames.schema)
+    own = list(frames.columns)
+    ranked = frames.withColumn("_cell", _key(seed, "cell")).withColumn("_frame", _key(seed, "cell", "seq"))
+
+    def work(parts: Iterator[tuple[bool, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        bank, rows, number = BalancedBank(budget), {}, 0
+
+        def done() -> pd.DataFrame:
+            return pd.DataFrame([rows[i] for i in sorted(i for held in bank.held.values() for _, i in held)], columns=own)
+
+        for new, part in parts:
+            if new:
+                if rows:
+                    yield done()
+                bank, rows = BalancedBank(budget), {}
+            for cell, cell_rank, frame_rank, row in zip(part["cell"].tolist(), part["_cell"].tolist(), part["_frame"].tolist(), part[own].itertuples(index=False, name=None)):
+                bank.offer(cell, cell_rank, frame_rank, number)
+                rows[number] = row
+                number += 1
+            kept = {i for held in bank.held.values() for _, i in held}
+            rows = {i: r for i, r in rows.items() if i in kept}
+        if rows:
+            yield done()
+
+    return follow(ranked, session, ["seq"], work, frames.schema)
 
 
 def accounting(retained: DataFrame, frames: DataFrame, budget: int, payload_bytes: int, capacity: int, precision: int) -> DataFrame:
