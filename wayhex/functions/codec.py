@@ -1,6 +1,6 @@
 """Vector codecs: raw float32, and 2, 3 or 4 bits per coordinate after a randomized Hadamard rotation.
 
-A quantized payload has a 16-byte header (4 bytes magic, bits, 0, dimension as uint16, scale as float32, padded dimension as
+A quantized payload has a 16-byte header (4 bytes magic, codec id, 0, dimension as uint16, scale as float32, padded dimension as
 uint32), then level numbers packed from the lowest bit on, and one slack byte. The scale is the root mean square of the
 rotated vector. Since the rotation keeps inner products, queries are rotated once and scored against levels.
 """
@@ -8,15 +8,20 @@ rotated vector. Since the rotation keeps inner products, queries are rotated onc
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAGIC = b"WHQ1"
+#: Fixed values of the payload format: the header's first bytes, its size, and the ids of the codecs by bits.
+MAGIC = b"NQT\0"
 HEADER = 16
+IDS = {2: 1, 3: 2, 4: 3}
+_HEAD = np.dtype([("magic", "<u4"), ("id", "u1"), ("zero", "u1"), ("dim", "<u2"), ("scale", "<f4"), ("size", "<u4")])
 #: Levels of the scalar quantizer that is optimal for a standard normal, the positive half.
 LEVELS = {
     2: (0.4528, 1.5104),
@@ -31,6 +36,12 @@ def padded(dim: int) -> int:
     return 1 if dim <= 1 else 1 << (dim - 1).bit_length()
 
 
+def codec_name(name: str) -> str | None:
+    """The codec that a name stands for: its own, or one that ends in it after an underscore; None for any other."""
+    own = name.rsplit("_", 1)[-1]
+    return own if own in BITS and (own != "raw" or name == "raw") else None
+
+
 def payload_size(codec: str, dim: int) -> int:
     """Bytes of a payload."""
     bits = BITS[codec]
@@ -83,15 +94,16 @@ def encode(vectors: np.ndarray, codec: str) -> list[bytes]:
     number = np.abs(unit[:, :, None] - table).argmin(axis=2)
     stream = (number[:, :, None] >> np.arange(bits) & 1).astype(np.uint8).reshape(n, -1)
     body = np.packbits(stream, axis=1, bitorder="little")
-    return [struct.pack("<4sBBHfI", MAGIC, bits, 0, dim, s, x.shape[1]) + b.tobytes() + b"\0" for s, b in zip(scale.tolist(), body)]
+    return [struct.pack("<4sBBHfI", MAGIC, IDS[bits], 0, dim, s, x.shape[1]) + b.tobytes() + b"\0" for s, b in zip(scale.tolist(), body)]
 
 
 def decode_levels(payload: bytes) -> tuple[int, np.ndarray] | None:
     """(dimension, rotated vector) of a quantized payload; None where it isn't one."""
     if len(payload) < HEADER or payload[:4] != MAGIC:
         return None
-    _, bits, _, dim, scale, size = struct.unpack_from("<4sBBHfI", payload)
-    if bits not in LEVELS or padded(dim) != size or len(payload) != HEADER + (bits * size + 7) // 8 + 1:
+    _, number, _, dim, scale, size = struct.unpack_from("<4sBBHfI", payload)
+    bits = next((b for b, i in IDS.items() if i == number), 0)
+    if not bits or not scale > 0 or padded(dim) != size or len(payload) != HEADER + (bits * size + 7) // 8 + 1:
         return None
     stream = np.unpackbits(np.frombuffer(payload, np.uint8, (bits * size + 7) // 8, HEADER), bitorder="little")[: bits * size].reshape(size, bits)
     return dim, levels(bits)[stream @ (1 << np.arange(bits))] * scale
@@ -138,13 +150,48 @@ def encode_column(vec: Column, codec: str) -> Column:
     return run(vec)
 
 
+def decode_column(col: pa.Array, codec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By dimension: the rows of a payload column that hold a vector of the codec, and those vectors (rotated, if quantized) as a matrix: equally long payloads are unpacked as one array."""
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == n)
+        flat = np.frombuffer(b"".join(col.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), n)
+        if codec == "raw":
+            if n % 4 == 0:
+                yield rows, flat.view("<f4").astype(np.float64)
+            continue
+        bits = BITS[codec]
+        if n < HEADER:
+            continue
+        head = np.ascontiguousarray(flat[:, :HEADER]).view(_HEAD).ravel()
+        good = (head["magic"] == int.from_bytes(MAGIC, "little")) & (head["id"] == IDS[bits]) & (head["scale"] > 0)
+        for dim in np.unique(head["dim"][good]).tolist():
+            own = np.flatnonzero(good & (head["dim"] == dim) & (head["size"] == padded(dim)))
+            if len(own) and n == payload_size(codec, dim):
+                size = padded(dim)
+                stream = np.unpackbits(flat[own, HEADER:-1], axis=1, bitorder="little")[:, : bits * size].reshape(len(own), size, bits)
+                yield rows[own], levels(bits)[stream @ (1 << np.arange(bits))] * head["scale"][own, None].astype(np.float64)
+
+
 def score_column(payload: Column, codec: str, queries: np.ndarray) -> Column:
     """array<double> of cosines of each payload with all queries (a bounded set, sent with the function); null where it doesn't fit."""
     q = np.asarray(queries, np.float64)
 
     @F.pandas_udf("array<double>")
     def run(p):  # noqa: ANN001, ANN202
-        score = scorer(q)
-        return p.map(lambda b: None if b is None else score(b, codec))
+        import pandas as pd
+
+        turned = q if codec == "raw" else rotate(q)
+        norms = np.linalg.norm(turned, axis=1)
+        out: list = [None] * len(p)
+        for rows, m in decode_column(pa.array(p, pa.binary()), codec):
+            n = np.linalg.norm(m, axis=1)
+            if m.shape[1] != turned.shape[1]:
+                continue
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sims = (m @ turned.T) / (n[:, None] * norms)
+            for i, s in zip(rows[n > 0].tolist(), sims[n > 0]):
+                out[i] = s
+        return pd.Series(out, index=p.index, dtype=object)
 
     return run(payload)

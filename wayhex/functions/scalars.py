@@ -126,6 +126,28 @@ def drive_id_epoch(text: Column) -> Column:
     return F.unix_timestamp(F.try_to_timestamp(text, F.lit("yyyyMMddHHmm")))
 
 
+def video_skew(name: Column, first_iso: Column) -> Column:
+    """Seconds from a video's start (YYYY-MM-DD-HH-MM-SS begins its name) to the first fix; 0 where either can't be read.
+
+    A time with an offset is taken to the session's wall clock, in which videos are named; one without is that wall clock.
+    """
+    start = F.try_to_timestamp(F.substring(name, 1, 19), F.lit("yyyy-MM-dd-HH-mm-ss"))
+    return F.coalesce(F.unix_micros(first_iso.try_cast("timestamp")) - F.unix_micros(start), F.lit(0)) / 1e6
+
+
+def int_in(text: Column, least: int, most: int) -> Column:
+    """A whole number in [least, most]; null for anything else, blanks after it too."""
+    n = F.when(text.rlike(r"^\s*[+-]?[0-9]+$"), F.trim(text).try_cast("long"))
+    return F.when(n.between(least, most), n)
+
+
+def number_list(text: Column) -> Column:
+    """The numbers of a list with commas; null where a part isn't one, empty parts are left out."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    numbers = F.transform(parts, lambda x: x.try_cast("double"))
+    return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
+
+
 def lat_lng_pair(text: Column) -> Column:
     """'LAT,LNG' as a struct; null where it isn't two valid numbers."""
     parts = F.split(text, ",")

@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; in a temporary folder of this machine only where none is set, as in tests."""
+    """A new path in the shared folder; in a temporary folder of this machine only where none is set and all runs on this machine, as in tests. On a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="wayhex-"))
         found = _own[0]

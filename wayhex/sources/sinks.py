@@ -30,6 +30,16 @@ def write_capture(summary: DataFrame, preds: DataFrame, settings: dict[str, str]
     out.write.json(path)
 
 
+def write_summary(summary: DataFrame, preds: DataFrame, settings: dict[str, str], keys: list[str], path: str) -> None:
+    """A capture as one JSON document: schema_version, settings, summary (n, hit_rate), by_category (the same by keys) and the number of predictions."""
+    parts = [F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("hit_rate")]
+    each = summary.groupBy(*keys).agg(*parts).agg(F.sort_array(F.collect_list(F.struct(*keys, "n", "hit_rate"))).alias("by_category"))
+    whole = summary.agg(*parts).select(F.struct("n", "hit_rate").alias("summary"))
+    count = preds.agg(F.count(F.lit(1)).alias("preds"))
+    out = whole.crossJoin(F.broadcast(each)).crossJoin(F.broadcast(count))
+    out.select(F.lit(VERSION).alias("schema_version"), F.struct(*[F.lit(v).alias(k) for k, v in settings.items()]).alias("settings"), "*").write.json(path)
+
+
 def read_captures(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Columns by name or, where a capture lacks one, by its older names; a column that no name gives is an error."""
     picked = []

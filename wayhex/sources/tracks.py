@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.cells import DEG
 from ..functions.scalars import metres_to_degrees
 from ..operators.geo import near_median
 
@@ -102,6 +103,23 @@ def rebase(track: DataFrame, key: str = "file") -> DataFrame:
     return track.join(start, key).withColumn("ts", F.col("ts") - F.col("_t0")).drop("_t0")
 
 
+def sequence(track: DataFrame, origins: DataFrame, name: str, key: str = "file") -> DataFrame:
+    """``track`` (key, name, ts, x, y) with its clock from 0 and lat, lng around the origin (prefix, lat0, lng0) of the longest prefix of its name."""
+    from ..operators.align import longest_prefix
+
+    named = longest_prefix(track.select(key, name).distinct(), origins, name, "prefix").select(key, "lat0", "lng0")
+    rows = rebase(track, key).join(named, key)
+    per = 111_320.0
+    return rows.withColumn("lat", F.col("y") / per + F.col("lat0")).withColumn("lng", F.col("x") / (per * F.cos(F.col("lat0") * DEG)) + F.col("lng0")).drop("lat0", "lng0")
+
+
+def take(track: DataFrame, frames: DataFrame, key: str) -> DataFrame:
+    """``frames`` (key, ts from the track's start) with the track's rebased positions (x, y) interpolated at their instants, and lat, lng around (0, 0)."""
+    from ..operators.align import interpolate
+
+    return project(interpolate(frames, rebase(track, key), "ts", ["x", "y"], [key]), 0.0, 0.0)
+
+
 def lidar_txt(spark: SparkSession, path: str) -> DataFrame:
     """(file, ts, x, y, z): white space, frame x y z and a quaternion, then the time; a line of under nine numbers fails the job."""
     parts = F.split(F.trim("value"), r"\s+")
@@ -123,6 +141,20 @@ def discover(spark: SparkSession, root: str, needed: list[str]) -> DataFrame:
     return rows.groupBy("sequence").agg(F.count(F.lit(1)).alias("files"), out.alias("complete"))
 
 
+def file_names(spark: SparkSession, root: str, sequence: str, name: str) -> DataFrame:
+    """(sequence, name) of the files under root, by regular expressions of their paths (the first group of ``name``); contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return files.select(F.regexp_extract("path", sequence, 0).alias("sequence"), F.regexp_extract("path", name, 1).alias("name"))
+
+
+def probe(files: DataFrame, needed: list[str]) -> DataFrame:
+    """(sequence, files, state) of (sequence, name): "ok", or the first needed name that has no file."""
+    has = [F.bool_or(F.col("name") == n).alias(f"_{i}") for i, n in enumerate(needed)]
+    out = files.groupBy("sequence").agg(F.count(F.lit(1)).alias("files"), *has)
+    state = F.coalesce(*[F.when(~F.col(f"_{i}"), f"no file of the name {n}") for i, n in enumerate(needed)], F.lit("ok"))
+    return out.select("sequence", "files", state.alias("state"))
+
+
 def cache_prune(files: DataFrame, most_bytes: int) -> DataFrame:
     """The least recently used (path, bytes, mtime) to delete so that the rest fits: all but the newest that add up to most_bytes."""
     newest = Window.orderBy(F.desc("mtime"), F.desc("path")).rowsBetween(Window.unboundedPreceding, 0)

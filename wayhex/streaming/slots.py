@@ -16,13 +16,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.sketch import register
 
 
-def event_windows(stream: DataFrame, ts: str, cell: str, hash_col: str, window_sec: int, precision: int, late_sec: int, start_sec: int = 0) -> DataFrame:
+def event_windows(stream: DataFrame, ts: str, cell: str, hash_col: str, window_sec: int, precision: int, late_sec: int | None = None, start_sec: int = 0, capacity: int = 1) -> DataFrame:
     """(cell, slot_start, j, rho, t_min, t_max): registers per cell and window, to be merged by maximum downstream; ts is a timestamp.
 
-    The state lasts for a window and the watermark. ``start_sec`` shifts the windows to an anchor known beforehand.
+    The watermark is ``late_sec`` behind, or else as far as a ring of ``capacity`` windows reaches back: state is dropped when its window leaves the ring. ``start_sec`` shifts the windows to an anchor known beforehand.
     """
     j, rho = register(F.col(hash_col), precision)
-    rows = stream.withWatermark(ts, f"{late_sec} seconds").select(F.col(ts).alias("_ts"), F.col(cell).alias("cell"), j.alias("j"), rho.alias("rho"))
+    rows = stream.withWatermark(ts, f"{capacity * window_sec if late_sec is None else late_sec} seconds").select(F.col(ts).alias("_ts"), F.col(cell).alias("cell"), j.alias("j"), rho.alias("rho"))
     slot = F.window("_ts", f"{window_sec} seconds", startTime=f"{start_sec} seconds")
     out = rows.groupBy("cell", slot.alias("_w"), "j").agg(F.max("rho").alias("rho"), F.min("_ts").alias("t_min"), F.max("_ts").alias("t_max"))
     return out.select("cell", F.col("_w.start").alias("slot_start"), "j", "rho", "t_min", "t_max")
