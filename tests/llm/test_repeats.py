@@ -65,3 +65,52 @@ def test_groups_are_maximal_with_all_occurrences():
     left, right = [t[:5][::-1] for t in texts], [t[5:] for t in texts]
     found = {(a, b, tuple(sorted(m.tolist()))) for a, b, m in repeats.groups([1] * 4, left, right, 9)}
     assert found == {(3, 9, (0, 2)), (3, 7, (0, 1, 2)), (4, 7, (1, 2))}
+
+
+def test_planted_passages_by_removed_bytes_and_what_is_kept(spark):
+    """Passages of over 50 words that repeat across clean documents: all go that have LENGTH bytes, and nothing else does."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(4, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (60, 70, 80, 120, 300)]
+    assert all(len(p) >= repeats.LENGTH for p in passages)
+    docs, want = [], {}
+    for k, p in enumerate(passages):
+        for copy in range(2 + k):
+            # another sign for each copy keeps chance neighbours of a passage from repeating too
+            before, after = f"{text(90)} {copy}", f"{copy} {text(90)}"
+            want[len(docs)] = (len(p), before + after)
+            docs.append((len(docs), before + p + after))
+    clean = range(len(docs), len(docs) + 40)
+    docs += [(i, text(200)) for i in clean]
+    rows = {x.doc_id: x for x in repeats.remove_repeats(frame(spark, docs)).collect()}
+    for i, (size, kept) in want.items():
+        assert (rows[i].n_removed, rows[i].n_spans, rows[i].kept) == (size, 1, kept.encode()), i
+    assert all((rows[i].n_removed, rows[i].kept) == (0, docs[i][1].encode()) for i in clean)
+
+
+def test_groups_are_those_of_all_substrings():
+    r = random.Random(3)
+    some = 0
+    for _ in range(60):
+        texts = list(dict.fromkeys((bytes(r.choices(b"ab", k=r.randint(0, 6))), b"##" + bytes(r.choices(b"ab", k=r.randint(0, 4)))) for _ in range(12)))
+        left, right = [x[0][::-1] for x in texts], [x[1] for x in texts]
+        want = set()
+        for b in range(7):
+            for a in range(2, 7):
+                for x, y in texts:
+                    if b <= len(x) and a <= len(y) and a + b >= 6:
+                        own = tuple(i for i, (p, q) in enumerate(texts) if len(p) >= b and len(q) >= a and p[len(p) - b :] == x[len(x) - b :] and q[:a] == y[:a])
+                        lefts = {texts[i][0][: len(texts[i][0]) - b][-1:] for i in own}
+                        rights = {texts[i][1][a : a + 1] for i in own}
+                        if len(own) > 1 and (len(lefts) > 1 or b"" in lefts) and (len(rights) > 1 or b"" in rights):
+                            want.add((b, a, own))
+        found = [(b, a, tuple(sorted(m.tolist()))) for b, a, m in repeats.groups([1] * len(texts), left, right, 6)]
+        assert set(found) == want and len(found) == len(want)
+        some += len(want)
+    assert some > 100
+
+
+def test_merged_spans():
+    got = repeats.merged(np.array([5, 0, 9, 20, 21]), np.array([9, 3, 12, 30, 25]))
+    assert got == [(0, 3), (5, 12), (20, 30)]
