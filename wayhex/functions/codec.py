@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +133,28 @@ def scorer(queries: np.ndarray) -> Callable[[bytes, str], np.ndarray | None]:
     return score
 
 
+@dataclass(frozen=True)
+class Codec:
+    """How vectors become payloads: encode (a matrix to payloads), decode (a payload column to (rows, matrix) by dimension, maybe turned), turn (queries to match decoded vectors)."""
+
+    encode: Callable[[np.ndarray], list[bytes]]
+    decode: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]
+    turn: Callable[[np.ndarray], np.ndarray]
+
+
+CODECS: dict[str, Codec] = {}
+
+
+def register(name: str, codec: Codec) -> None:
+    """Makes a codec known to encode_column() and score_column()."""
+    if name in CODECS:
+        raise ValueError(f"a codec {name!r} is there already")
+    CODECS[name] = codec
+
+
 def encode_column(vec: Column, codec: str) -> Column:
     """Payloads of a vector column; null for a null or empty vector."""
+    own = CODECS[codec]
 
     @F.pandas_udf("binary")
     def run(v):  # noqa: ANN001, ANN202
@@ -143,7 +164,7 @@ def encode_column(vec: Column, codec: str) -> Column:
         out = pd.Series([None] * len(v), dtype=object)
         for n in sizes[sizes > 0].unique():
             at = np.flatnonzero(sizes.to_numpy() == n)
-            for i, p in zip(at, encode(np.stack(v.iloc[at].to_numpy()), codec)):
+            for i, p in zip(at, own.encode(np.stack(v.iloc[at].to_numpy()))):
                 out.iat[i] = p
         return out
 
@@ -175,16 +196,16 @@ def decode_column(col: pa.Array, codec: str) -> Iterator[tuple[np.ndarray, np.nd
 
 def score_column(payload: Column, codec: str, queries: np.ndarray) -> Column:
     """array<double> of cosines of each payload with all queries (a bounded set, sent with the function); null where it doesn't fit."""
-    q = np.asarray(queries, np.float64)
+    own = CODECS[codec]
+    turned = own.turn(np.asarray(queries, np.float64))
 
     @F.pandas_udf("array<double>")
     def run(p):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        turned = q if codec == "raw" else rotate(q)
         norms = np.linalg.norm(turned, axis=1)
         out: list = [None] * len(p)
-        for rows, m in decode_column(pa.array(p, pa.binary()), codec):
+        for rows, m in own.decode(pa.array(p, pa.binary())):
             n = np.linalg.norm(m, axis=1)
             if m.shape[1] != turned.shape[1]:
                 continue
@@ -195,3 +216,7 @@ def score_column(payload: Column, codec: str, queries: np.ndarray) -> Column:
         return pd.Series(out, index=p.index, dtype=object)
 
     return run(payload)
+
+
+for _name in BITS:
+    register(_name, Codec(partial(encode, codec=_name), partial(decode_column, codec=_name), rotate if BITS[_name] else lambda q: q))

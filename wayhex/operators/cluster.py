@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _with_features(df: DataFrame, vec: str) -> DataFrame:
@@ -12,16 +13,32 @@ def _with_features(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn("_f", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
 
 
-def medoids(df: DataFrame, k: int, vec: str = "vec", order: str = "seq", seed: int = 42, iterations: int = 50) -> DataFrame:
-    """(cluster, order, size): the frame nearest to each k-means centre."""
+def medoids(df: DataFrame, k: int, vec: str = "vec", order: str = "seq", seed: int = 42, iterations: int = 50, starts: int = 1) -> DataFrame:
+    """(cluster, order, size): the frame nearest to each k-means centre, of the best of ``starts`` runs by cost.
+
+    Where clusters come out empty, frames at random fill up to k, as clusters of their own size 0; with k frames or fewer all are taken.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import vector_to_array
 
+    from ..functions.scalars import hash60
+
+    key = hash60(F.concat_ws(":", F.lit(seed), order))
+    few = df.select(order).limit(k + 1).count()
+    if few <= k:
+        return df.select(order).withColumn("cluster", (F.row_number().over(Window.orderBy(order)) - 1).cast("int")).select("cluster", order, F.lit(1).cast("long").alias("size"))
     rows = _with_features(df.select(order, vec), vec)
-    model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="_f", predictionCol="cluster").fit(rows)
+    fits = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_f", predictionCol="cluster").fit(rows) for i in range(starts)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)
     centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
     far = F.aggregate(F.zip_with(vector_to_array("_f"), F.get(centers, F.col("cluster")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return model.transform(rows).groupBy("cluster").agg(F.min_by(order, F.struct(F.round(far, 9), order)).alias(order), F.count(F.lit(1)).alias("size"))
+    found = model.transform(rows).groupBy("cluster").agg(F.min_by(order, F.struct(F.round(far, 9), order)).alias(order), F.count(F.lit(1)).alias("size"))
+    missing = k - found.count()
+    if not missing:
+        return found
+    rest = df.select(order).join(F.broadcast(found.select(order)), order, "left_anti").orderBy(key, order).limit(missing)
+    fill = rest.withColumn("cluster", (F.lit(k) + F.row_number().over(Window.orderBy(order)) - 1).cast("int")).select("cluster", order, F.lit(0).cast("long").alias("size"))
+    return found.unionAll(fill)
 
 
 def project_2d(df: DataFrame, vec: str = "vec", order: str = "seq") -> DataFrame:
@@ -36,8 +53,6 @@ def project_2d(df: DataFrame, vec: str = "vec", order: str = "seq") -> DataFrame
 
 def round_robin(df: DataFrame, group: str, within: str, cap: int, total: int, seed: int = 42) -> DataFrame:
     """At most ``cap`` rows of each (group, within) and ``total`` in all, dealt over groups in turn; rows need seq."""
-    from pyspark.sql.window import Window
-
     from ..functions.scalars import hash60
 
     key = hash60(F.concat_ws(":", F.lit(seed), "seq"))

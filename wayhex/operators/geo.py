@@ -63,6 +63,17 @@ def revisit_stats(visits: DataFrame) -> DataFrame:
     )
 
 
+def normals(track: DataFrame, keys: list[str], ts: str = "ts", order: str = "seq") -> DataFrame:
+    """Adds nx, ny: the unit normal of the line from the row before to the row after (an end counts as its own neighbour), left of the direction; 0, 0 where they fall together."""
+    w = Window.partitionBy(*keys).orderBy(ts, order)
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
+    after = lambda c: F.coalesce(F.lead(c).over(w), F.col(c))
+    rows = track.withColumn("_dx", after("lng") - before("lng")).withColumn("_dy", after("lat") - before("lat"))
+    n = F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    part = lambda c: F.when(n > 0, c / n).otherwise(0.0)
+    return rows.withColumn("nx", part(-F.col("_dy"))).withColumn("ny", part(F.col("_dx"))).drop("_dx", "_dy")
+
+
 def day_gaps(df: DataFrame) -> DataFrame:
     """(cell, gap): days between successive distinct days of each cell."""
     days = df.select("cell", "day").distinct()

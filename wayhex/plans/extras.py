@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.vectors import search
 from ..functions.cells import DEG
-from ..functions.scalars import GRAVITY
-from ..operators import cluster, memory, motion, retention, stats
+from ..functions.scalars import GRAVITY, hash60
+from ..operators import cluster, memory, motion, retention, sketch, stats
 from ..scratch import shared_path
-from ..streaming.slots import arrival_slots
+from ..streaming.slots import arrival_slots, event_windows
 from ..streaming.tiles import tile_states
 from . import core, data
 from .analytics import EST, FRAMES, SEED, frames, key
@@ -53,8 +53,8 @@ def codec_hits(bank, questions, name, top):
     """memory.best_hits() of a bank whose vec is a payload."""
     parts = []
     for ids, vectors in memory.query_blocks(questions):
-        turned = [None if v is None else codec.rotate(np.array([v], np.float64))[0] for v in vectors] if codec.BITS[name] else vectors
-        parts.append(search(bank, "vec", ids, turned, questions.schema["qid"].dataType, top, "seq", "cell", vectors=lambda col: codec.decode_column(col, name)))
+        turned = [None if v is None else codec.CODECS[name].turn(np.array([v], np.float64))[0] for v in vectors]
+        parts.append(search(bank, "vec", ids, turned, questions.schema["qid"].dataType, top, "seq", "cell", vectors=codec.CODECS[name].decode))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -124,7 +124,7 @@ def imu_dead_reckoning(spark, sf):
 @query()
 def kmeans_medoids(spark, sf):
     v = data.vectors(spark, sf).select(F.col("vec_id").alias("seq"), "vec")
-    return cluster.medoids(v, 10)
+    return cluster.medoids(v, 10, starts=3)
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT *, row_number() OVER (PARTITION BY cell, session ORDER BY {key('seq')}, seq) AS c FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY c, {key('seq')}, seq) AS t FROM a WHERE c <= 2)
@@ -166,3 +166,22 @@ def stream_tiles(spark, sf):
     kept = spark.read.parquet(f"{path}/out")
     latest = kept.groupBy("cell").agg(F.max_by(F.struct("seen", "last_slot", "n_distinct", "held"), F.struct("batch", "seen")).alias("s"))
     return latest.select("cell", "s.seen", "s.last_slot", r6("s.n_distinct").alias("n_distinct"), F.array_join("s.held", ",").alias("held"))
+
+
+@query(f"WITH {data.mem_sql()}, d AS (SELECT cell, floor(ts / 86400e0)::BIGINT AS slot, j, max(rho) AS rho FROM r GROUP BY ALL) SELECT cell, slot, round({EST}, 6) AS n_distinct FROM (SELECT cell, slot, count(*) AS k, sum(pow(2e0, -rho)) AS p FROM d GROUP BY cell, slot)")
+def stream_windows(spark, sf):
+    """Registers of each cell and day from a stream with a watermark, merged by maximum over its micro-batches."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/event[s].parquet")
+    rows = data.observed(stream).select(F.timestamp_micros(F.round(F.col("ts") * 1e6).cast("long")).alias("ts"), GRID.encode(F.col("lat"), F.col("lng"), CFG.resolution).alias("cell"), "item")
+    rows = rows.filter("cell is not null and length(item) > 0").withColumn("h", hash60(F.col("item")))
+    path = shared_path(spark, "windows")
+
+    def keep(batch, number):  # noqa: ANN001, ANN202
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    out = event_windows(rows, "ts", "cell", "h", 86400, CFG.precision, capacity=CFG.capacity)
+    run = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    regs = spark.read.parquet(f"{path}/out").select("cell", F.floor(F.unix_seconds("slot_start") / 86400).alias("slot"), "j", "rho")
+    return sketch.estimate(sketch.merge(regs, ["cell", "slot"]), ["cell", "slot"], CFG.precision, "n_distinct").withColumn("n_distinct", r6("n_distinct"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codec, scalars
-from ..operators import align, cluster, memory, retention, score, sketch, stats
+from ..operators import align, cluster, geo, memory, retention, score, sketch, stats
 from ..scratch import shared_path
-from ..sources import annotations, sinks
+from ..sources import annotations, groups, sinks, tracks
+from ..streaming.slots import as_of_replay
 from . import core, data
 from .analytics import ALPHA, FRAMES, HLL_M, REG, RUNS, SEED, frames, key, runs
 from .core import SUMMARY, T0, r6
@@ -215,3 +216,69 @@ def permuted_coordinates(spark, sf):
 
     out = transform_coordinates(data.observations(spark, sf).select("seq", "lat", "lng"), "seq", permute_seed=SEED)
     return out.select("seq", r6("lat").alias("lat"), r6("lng").alias("lng"))
+
+
+# tracks, draws and replays
+
+
+@query(f"WITH {OBS}, x AS (SELECT session, floor(ts)::BIGINT AS s, lat, lng FROM o WHERE seq % 20 <> 0 AND seq % 21 <> 0) SELECT session, s::DOUBLE AS ts, round(p.lat, 6) AS lat, round(p.lng, 6) AS lng FROM (SELECT session, s, min({{'lat': lat, 'lng': lng}}) AS p FROM x GROUP BY session, s)")
+def clean_fixes(spark, sf):
+    """Fixes of a device with a clock in nanoseconds: out of range, not finite or repeated ones go."""
+    s = F.col("seq")
+    o = data.observations(spark, sf).select("session", (F.floor("ts") * 1_000_000_000).alias("ns"), F.when(s % 20 == 0, 91.0).when(s % 21 == 0, float("nan")).otherwise(F.col("lat")).alias("lat"), "lng")
+    return tracks.clean_fixes(o, "session").select("session", "ts", r6("lat").alias("lat"), r6("lng").alias("lng"))
+
+
+@query(f"WITH {OBS}, d AS (SELECT seq, coalesce(lead(lng) OVER w, lng) - coalesce(lag(lng) OVER w, lng) AS dx, coalesce(lead(lat) OVER w, lat) - coalesce(lag(lat) OVER w, lat) AS dy FROM o WINDOW w AS (PARTITION BY session ORDER BY ts, seq)) SELECT seq, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE -dy / sqrt(dx * dx + dy * dy) END, 6) AS nx, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE dx / sqrt(dx * dx + dy * dy) END, 6) AS ny FROM d")
+def track_normals(spark, sf):
+    return geo.normals(data.observations(spark, sf), ["session"]).select("seq", r6("nx").alias("nx"), r6("ny").alias("ny"))
+
+
+@query(f"WITH {FRAMES}, c AS (SELECT DISTINCT cell, (cell & {(1 << 28) - 1}) - {1 << 27} AS r FROM f) SELECT cell, dense_rank() OVER (ORDER BY r DESC) AS layer FROM c")
+def draw_order(spark, sf):
+    """Cells from north to south: rows of one latitude are one layer."""
+    own = frames(spark, sf).select("cell").distinct()
+    lat = F.round(data.GRID.center(F.col("cell"), CFG.resolution)[0], 9)
+    layers = own.select(lat.alias("lat")).distinct().withColumn("layer", F.row_number().over(Window.orderBy(F.desc("lat"))))
+    return own.withColumn("lat", lat).join(layers, "lat").select("cell", F.col("layer").cast("long").alias("layer"))
+
+
+CLOCK = 1705500000
+PAST = mem_sql().replace("FROM events)", f"FROM events WHERE epoch_us(ts) / 1e6 <= {CLOCK})")
+
+
+@query(f"WITH {PAST}, {data.agg_sql('a', data.LIVE)}, t AS (SELECT cell, count(*) AS seen FROM v GROUP BY cell) SELECT cell, seen, round(coalesce(a.n, 0), 6) AS total FROM t LEFT JOIN a USING (cell)")
+def replay_to_clock(spark, sf):
+    """The memory as it was at a clock: seeking backwards builds it anew from what had come by then."""
+    mem = memory.observe(as_of_replay(data.observations(spark, sf), "ts", float(CLOCK)), CFG, data.GRID)
+    return memory.tile_summary(mem).select("cell", "seen", r6("total").alias("total"))
+
+
+@query(f"{core.recall_sql()}, x AS (SELECT *, CASE WHEN qid % 40 = 0 THEN 2 WHEN qid % 60 = 0 THEN 4 END AS pick FROM preds) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank = pick THEN 0 ELSE 1 END, rank) AS rank, cell FROM x")
+def rerank_answers(spark, sf):
+    """Hits in the order of a scorer's answers; refusals and numbers that weren't shown change nothing."""
+    q = F.col("qid")
+    answer = F.when(q % 40 == 0, "Frame 2 of 5, I think").when(q % 60 == 0, "99? no: 4").when(q % 100 == 0, "7").otherwise("I can't help with that.")
+    return sinks.rerank(core.recalled(spark, sf), data.questions(spark, sf).select("qid", answer.alias("answer")), 5).select("qid", "rank", "cell")
+
+
+OTHER = core.recall_sql().replace("vec AS qvec", "list_reverse(vec) AS qvec")
+
+
+@query(f"{OTHER} SELECT qid, rank, cell, sim, exemplar_t FROM preds")
+def alternate_encoder(spark, sf):
+    """The same bank asked by vectors of another encoder (a stand-in: components reversed)."""
+    q = data.questions(spark, sf).withColumn("qvec", F.reverse("qvec"))
+    return memory.recall(data.memory(spark, sf), core.bank(spark, sf), q, 5).select("qid", "rank", "cell", "sim", "exemplar_t")
+
+
+@query("SELECT user_id AS session, sha256(string_agg(event_id::VARCHAR || chr(10), '' ORDER BY event_id)) AS sha256 FROM events GROUP BY user_id")
+def provenance(spark, sf):
+    """The hashes of a run's inputs; a run whose inputs are the same may be resumed."""
+    ids = data.table(spark, sf, "events").groupBy(F.col("user_id").alias("session")).agg(F.array_join(F.sort_array(F.collect_list("event_id")), "\n").alias("value"))
+    path = shared_path(spark, "inputs")
+    ids.repartition("session").write.partitionBy("session").text(path)
+    files = [f"{path}/session=*/*.txt"]
+    found = groups.fingerprint(spark, files)
+    groups.check_resume(found, groups.fingerprint(spark, files))
+    return found.select(F.regexp_extract("path", "session=([0-9]+)", 1).cast("int").alias("session"), "sha256")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import hex_string
+from ..functions.scalars import first_choice
 
 VERSION = 1
 
@@ -51,6 +52,12 @@ def read_captures(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.select(*picked)
 
 
+def rerank(preds: DataFrame, answers: DataFrame, shown: int) -> DataFrame:
+    """Ranks anew by what a scorer answered, (qid, answer): the first number from 1 to ``shown`` in it is the rank it picks; without one, a refusal for instance, the order stays."""
+    picks = answers.select("qid", first_choice(F.col("answer"), shown).alias("pick")).filter("pick is not null")
+    return promote(preds, picks)
+
+
 def promote(preds: DataFrame, picks: DataFrame) -> DataFrame:
     """Ranks anew with the picked rank of (qid, pick) first and the rest in order; a question without a valid pick stays as it is."""
     from pyspark.sql.window import Window

@@ -91,6 +91,15 @@ def slam_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("ts is not null and x is not null and y is not null").withColumn("_k", first).filter("_k = 1").drop("_k", "_i")
 
 
+def clean_fixes(fixes: DataFrame, key: str = "file") -> DataFrame:
+    """(key, ts, lat, lng) of a device's fixes (key, ns, lat, lng): nanoseconds to seconds; coordinates that aren't finite or out of range and repeated instants go (the first by place stays)."""
+    from ..functions.cells import valid
+
+    rows = fixes.filter(finite(F.col("lat")) & finite(F.col("lng")) & valid(F.col("lat"), F.col("lng")) & F.col("ns").isNotNull())
+    first = rows.groupBy(key, "ns").agg(F.min(F.struct("lat", "lng")).alias("p"))
+    return first.select(key, (F.col("ns") / 1e9).alias("ts"), "p.lat", "p.lng")
+
+
 def project(track: DataFrame, lat0: float, lng0: float) -> DataFrame:
     """Metres (x east, y north) as coordinates around an origin."""
     lat, lng = metres_to_degrees(F.col("x"), F.col("y"), lat0, lng0)
