@@ -15,15 +15,25 @@ TOLERANCE_SEC = 1.5
 def score_predictions(preds: DataFrame, truth: DataFrame, tolerance: float = TOLERANCE_SEC) -> DataFrame:
     """preds (qid, rank, cell, exemplar_t, t_min, t_max, …) with bucket_iou, exemplar_iou and exemplar_hit.
 
-    truth is (qid, intervals array<struct<start, end>>). Both are the best over the question's intervals: of [t_min, t_max] and
-    of exemplar_t -/+ tolerance; the hit says whether exemplar_t lies in one. Without intervals: 0, 0, false.
+    truth is (qid, start, end), or (qid, intervals array<struct<start, end>>). Both are the best over the question's intervals: of [t_min, t_max] and
+    of exemplar_t -/+ tolerance; the hit says whether exemplar_t lies in one. Without intervals: 0, 0, false. Predictions are
+    unique by (qid, rank). A question's intervals are rows that meet its few predictions and are reduced at once, never a list.
     """
-    out = preds.join(truth, "qid", "left")
-    own = F.coalesce(F.col("intervals"), F.array().cast(truth.schema["intervals"].dataType))
+    rows = truth.select("qid", F.explode("intervals").alias("i")).select("qid", "i.start", "i.end") if "intervals" in truth.columns else truth
+    out = preds.join(rows.select("qid", F.col("start").alias("_s"), F.col("end").alias("_e")), "qid", "left")
     a, b = F.coalesce("t_min", "exemplar_t"), F.coalesce("t_max", "exemplar_t")
-    best = lambda lo, hi: F.aggregate(own, F.lit(0.0), lambda m, x: F.greatest(m, interval_iou(lo, hi, x["start"], x["end"])))
-    hit = F.exists(own, lambda x: F.col("exemplar_t").between(x["start"], x["end"]))
-    return out.select(*preds.columns, best(a, b).alias("bucket_iou"), best(F.col("exemplar_t") - tolerance, F.col("exemplar_t") + tolerance).alias("exemplar_iou"), F.coalesce(hit, F.lit(False)).alias("exemplar_hit"))
+    best = lambda lo, hi: F.max(interval_iou(lo, hi, F.col("_s"), F.col("_e")))
+    hit = F.coalesce(F.bool_or(F.col("exemplar_t").between(F.col("_s"), F.col("_e"))), F.lit(False))
+    return out.groupBy(*preds.columns).agg(best(a, b).alias("bucket_iou"), best(F.col("exemplar_t") - tolerance, F.col("exemplar_t") + tolerance).alias("exemplar_iou"), hit.alias("exemplar_hit"))
+
+
+def best_iou(spans: DataFrame, truth: DataFrame, bin_sec: float) -> DataFrame:
+    """spans (qid, x, y) with iou, the best with any of truth (qid, start, end); 0 without overlap. Only intervals that meet in a bin of time are compared."""
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bin_sec).cast("long"), F.floor(F.col(hi) / bin_sec).cast("long"))).alias("_bin")
+    left = spans.filter("x <= y").select("qid", "x", "y", bins("x", "y")).distinct()
+    right = truth.filter("start <= end").select("qid", "start", "end", bins("start", "end"))
+    found = left.join(right, ["qid", "_bin"]).groupBy("qid", "x", "y").agg(F.max(interval_iou(F.col("x"), F.col("y"), F.col("start"), F.col("end"))).alias("iou"))
+    return spans.join(found, ["qid", "x", "y"], "left").withColumn("iou", F.coalesce("iou", F.lit(0.0)))
 
 
 def gather_truth(intervals: DataFrame) -> DataFrame:

@@ -256,8 +256,7 @@ SUMMARY = f"""{SCORE}, sm AS (SELECT que.qid, category, coalesce(max(CASE WHEN r
 
 
 def scored(spark, sf):
-    truth = score.gather_truth(data.ground_truth(spark, sf))
-    return score.score_predictions(recalled(spark, sf), truth)
+    return score.score_predictions(recalled(spark, sf), data.ground_truth(spark, sf))
 
 
 def summary(spark, sf):
@@ -269,8 +268,7 @@ SELECT p.qid, round(p.x, 6) AS start, round(max({IOU("p.x", "p.y")}), 6) AS iou
 def interval_iou(spark, sf):
     gt = data.ground_truth(spark, sf)
     p = gt.select("qid", (F.col("start") - 1800).alias("x"), (F.col("end") - 1800).alias("y"))
-    best = F.aggregate("intervals", F.lit(0.0), lambda m, g: F.greatest(m, scalars.interval_iou(F.col("x"), F.col("y"), g["start"], g["end"])))
-    return p.join(score.gather_truth(gt), "qid").groupBy("qid", "x").agg(r6(F.max(best)).alias("iou")).select("qid", r6("x").alias("start"), "iou")
+    return score.best_iou(p, gt, 7200.0).groupBy("qid", "x").agg(r6(F.max("iou")).alias("iou")).select("qid", r6("x").alias("start"), "iou")
 
 
 @query(f"{recall_sql()}, {SUMMARY} SELECT qid, round(top1_iou, 6) AS top1_iou, round(max_iou, 6) AS max_iou, round(max_exemplar_iou, 6) AS max_exemplar_iou, hit, cells, bucket_hit FROM sm")

@@ -191,7 +191,7 @@ def rescored(spark, sf):
     names = {"qid": [], "rank": [], "cell": [], "exemplar_t": ["t"], "t_min": [], "t_max": []}
     back = spark.read.schema("qid long, rank int, cell long, t double, t_min double, t_max double").json(path)
     preds = sinks.read_captures(back, names)
-    out = score.summarize_questions(score.score_predictions(preds, score.gather_truth(data.ground_truth(spark, sf)), 900.0), data.questions(spark, sf).select("qid", "category"))
+    out = score.summarize_questions(score.score_predictions(preds, data.ground_truth(spark, sf), 900.0), data.questions(spark, sf).select("qid", "category"))
     return out.select("qid", r6("max_exemplar_iou").alias("max_exemplar_iou"), "hit")
 
 
