@@ -97,3 +97,62 @@ def test_a_text_without_grams_is_not_unknown(spark):
     model = language.train(frame(spark, rows), F.col("text"), F.col("lang"))
     got = {r.doc_id: (r.lang_pred, r.score, r.known) for r in language.predict(frame(spark, [(1, "A."), (2, "Re."), (3, "12."), (4, "")]), model).collect()}
     assert got == {1: ("en", 0, 1), 2: ("en", 0, 1), 3: ("und", 0, 0), 4: ("und", 0, 0)}
+
+
+def plain_grams(text):
+    """The 4-byte grams of a text, one after another."""
+    data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in f" {(text or '').lower()} ".encode())
+    return [data[i : i + 4] for i in range(len(data) - 3) if data[i : i + 4].count(32) <= 1]
+
+
+def plain_probes(gram, slots):
+    h = (int.from_bytes(gram, "big") + 1) % 2**64
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) % 2**64
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) % 2**64
+    h ^= h >> 31
+    return [(h >> 20 * k) % slots for k in range(3)]
+
+
+def test_identify_against_brute_force(spark, sf):
+    """Training, filter, hits, correction and prediction anew with dictionaries and sets, a gram at a time."""
+    docs = [(d.doc_id, d.text, d.lang) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs += [(5000, None, "en"), (5001, "", "en"), (5002, "12 34", None), (5003, "A.", None), (None, docs[0][1], docs[0][2])]
+    learn = {}
+    for d, text, lang in docs:
+        if d is not None and zlib.crc32(str(d).encode()) % 5 and text is not None and lang is not None:
+            learn.setdefault(lang, {}).setdefault(text, 0)
+            learn[lang][text] = min(learn[lang][text] + 1, 3)
+    assert all(len(t) < 1000 for t in learn.values())  # every text is in the sample
+    seen = {lang: {} for lang in learn}
+    for lang, own in learn.items():
+        for text, copies in own.items():
+            for g in plain_grams(text):
+                seen[lang][g] = seen[lang].get(g, 0) + copies
+    total = {lang: sum(s.values()) for lang, s in seen.items()}
+    rate = {lang: {g: n / total[lang] for g, n in s.items() if n >= 3} for lang, s in seen.items()}
+    top = {}
+    for own in rate.values():
+        for g, x in own.items():
+            top[g] = max(top.get(g, 0), x)
+    known = {lang: {g for g, x in own.items() if x >= 0.2 * top[g]} for lang, own in rate.items()}
+    slots = 1 << max(10, (8 * max(map(len, known.values()))).bit_length())
+    bits = {lang: {p for g in own for p in plain_probes(g, slots)} for lang, own in known.items()}
+    order = sorted(known)
+    wrong = {lang: (len(bits[lang]) / slots) ** 3 for lang in order}
+    prior = max(order, key=lambda x: total[x])
+    got = sorted(language.identify(frame(spark, docs)).collect(), key=str)
+    want = []
+    for d, text, _ in docs:
+        held = d is not None and zlib.crc32(str(d).encode()) % 5 == 0
+        if not any(c.isalpha() for c in text or ""):
+            want.append((d, "und", 0.0, 0.0, held))
+            continue
+        g = plain_grams(text)
+        places = [plain_probes(x, slots) for x in g]
+        hits = [max((sum(all(p in bits[lang] for p in ps) for ps in places) - len(g) * wrong[lang]) / (1 - wrong[lang]), 0) for lang in order]
+        best = max(hits)
+        pick = order[hits.index(best)] if best > 0 else prior
+        want.append((d, pick, best / sum(hits) if best else 0.0, min(best / len(g), 1) if g else 1.0, held))
+    want.sort(key=str)
+    assert [(r[0], r[1], r[4]) for r in got] == [(w[0], w[1], w[4]) for w in want]
+    assert np.allclose([r[2] for r in got], [w[2] for w in want], atol=1e-9) and np.allclose([r[3] for r in got], [w[3] for w in want], atol=1e-9)

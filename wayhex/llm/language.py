@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .textops import cut, mix, raw
+from .textops import CHUNK, cut, mix, raw
 
 N = 4
 PROBES = 3
@@ -27,7 +27,6 @@ PROBES = 3
 SAMPLE = 1000
 #: An n-gram counts as a language's if it is seen at least so often there, and at least at this share of its highest rate in any language.
 LEAST_SEEN, LEAST_RATE = 3, 0.2
-MOST_SLOTS = 1 << 22
 UNKNOWN = "und"
 _U = np.uint64
 _KIND = np.arange(256, dtype=np.uint8)
@@ -60,31 +59,38 @@ def language_bits(rows: np.ndarray, i: int) -> np.ndarray:
 def probes(grams: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     h = mix(grams.astype(_U) + _U(1))
     for k in range(PROBES):
-        yield (h >> _U(20 * k)) & _U(slots - 1)
+        yield (h >> _U(20 * k)) & _U(slots - 1) if slots <= 1 << 22 else mix(h + _U(k)) & _U(slots - 1)
 
 
-def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """N-byte grams of the lower-cased text (all but letters are blanks) that hold one blank at most, and each row's offset.
+def gram_windows(col: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """N-byte grams of the lower-cased text (all but letters are blanks) that hold one blank at most, and each row's offset, by windows of the column's bytes.
 
-    A blank stands before and after each text; null counts as empty.
+    A blank stands before and after each text; null counts as empty. A gram is in the window in which it starts.
     """
     blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
     text = pc.binary_join_element_wise(blank, pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), "")), blank, none)
-    data, offsets = raw(text)
-    data = _KIND[data]
-    if len(data) < N:
-        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-    last = len(data) - N + 1
-    code, blanks = np.zeros(last, np.uint32), np.zeros(last, np.uint8)
-    for j in range(N):
-        part = data[j : j + last]
-        code = code << np.uint32(8) | part
-        blanks += part == 32
-    good = blanks <= 1
-    for j in range(1, N):  # not across rows
-        at = offsets[1:-1] - j
-        good[at[(at >= 0) & (at < last)]] = False
-    return code[good], np.concatenate(([0], np.cumsum(good)))[np.minimum(offsets, last)]
+    whole, offsets = raw(text)
+    for lo in range(0, max(len(whole), 1), chunk):
+        data = _KIND[whole[lo : lo + chunk + N - 1]]
+        last = min(len(data) - N + 1, chunk)
+        if last < 1:
+            yield np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            continue
+        code, blanks = np.zeros(last, np.uint32), np.zeros(last, np.uint8)
+        for j in range(N):
+            part = data[j : j + last]
+            code = code << np.uint32(8) | part
+            blanks += part == 32
+        good = blanks <= 1
+        for j in range(1, N):  # not across rows
+            at = offsets[1:-1] - j - lo
+            good[at[(at >= 0) & (at < last)]] = False
+        yield code[good], np.concatenate(([0], np.cumsum(good)))[np.clip(offsets - lo, 0, last)]
+
+
+def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All of gram_windows() in one."""
+    return next(gram_windows(col, 1 << 62))
 
 
 def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -110,13 +116,13 @@ def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, "_text"):
-            code, at = grams(b.column(0))
             langs = b.column(1).dictionary_encode()
-            row = np.repeat(langs.indices.to_numpy(), np.diff(at)).astype(np.uint64)
-            both, place = np.unique(row << _U(32) | code, return_inverse=True)
-            seen = np.bincount(place, np.repeat(b.column(2).to_numpy(), np.diff(at)), len(both))
-            names = langs.dictionary.take(pa.array((both >> _U(32)).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([names, pa.array((both & _U(0xFFFFFFFF)).astype(np.int64)), pa.array(seen.astype(np.int64))], ["lang", "gram", "seen"])
+            for code, at in gram_windows(b.column(0)):
+                row = np.repeat(langs.indices.to_numpy(), np.diff(at)).astype(np.uint64)
+                both, place = np.unique(row << _U(32) | code, return_inverse=True)
+                seen = np.bincount(place, np.repeat(b.column(2).to_numpy(), np.diff(at)), len(both))
+                names = langs.dictionary.take(pa.array((both >> _U(32)).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([names, pa.array((both & _U(0xFFFFFFFF)).astype(np.int64)), pa.array(seen.astype(np.int64))], ["lang", "gram", "seen"])
 
     seen = rows.select("_text", "_lang", "_c").mapInArrow(count, "lang string, gram long, seen long").groupBy("lang", "gram").agg(F.sum("seen").alias("seen"))
     found = seen.withColumn("total", F.sum("seen").over(Window.partitionBy("lang"))).filter(F.col("seen") >= LEAST_SEEN).toPandas()
@@ -126,7 +132,7 @@ def train(docs: DataFrame, text: Column, lang: Column, sample: int = SAMPLE) ->
     found["rate"] = found["seen"] / found["total"]
     found = found[found["rate"] >= LEAST_RATE * found.groupby("gram")["rate"].transform("max")]
     most = int(found.groupby("lang").size().max())
-    slots = min(MOST_SLOTS, 1 << max(10, (8 * most).bit_length()))
+    slots = 1 << max(10, (8 * most).bit_length())
     kind = next((k for k in (np.uint8, np.uint16, np.uint32) if len(languages) <= np.iinfo(k).bits), np.uint64)
     table = np.zeros(slots if len(languages) <= 64 else (slots, -(-len(languages) // 64)), kind)
     own = found.groupby("lang")["gram"]
@@ -145,7 +151,8 @@ def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_
     ``score`` is the predicted language's share of the corrected hits of all
     languages, ``known`` the share of the text's n-grams that are its; 1 for a text with letters but without n-grams, as no n-gram is unknown. A
     null text, one without letters, and any text where there is no model: UNKNOWN, 0, 0. Without hits the
-    most common learned language, 0, 0. Ties go to the language first in order. Repeated rows give repeated rows.
+    most common learned language, 0, 0. Ties go to the language first in order. Repeated rows give repeated rows, an empty table an empty result. Only
+    the id and the text are read, and other columns may have any names; with ``keep`` they come back inside _r. Long texts are read in windows.
     """
     own = [F.struct(*[c for c in docs.columns if c != text_col]).alias("_r")] if keep else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *own)
@@ -156,13 +163,14 @@ def predict(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_
             lettered = pc.fill_null(pc.match_substring_regex(b.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names, score, known = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows), np.zeros(b.num_rows)
             if model is not None:
-                code, at = grams(b.column(1))
-                mask = model.lookup(code)
-                n = np.diff(at)
-                hits = np.empty((len(model.languages), b.num_rows))
+                n, hits = np.zeros(b.num_rows, np.int64), np.zeros((len(model.languages), b.num_rows))
+                for code, at in gram_windows(b.column(1)):
+                    mask = model.lookup(code)
+                    n += np.diff(at)
+                    for i in range(len(model.languages)):
+                        hits[i] += np.diff(np.concatenate(([0], np.cumsum(language_bits(mask, i), dtype=np.int64)))[at])
                 for i, fp in enumerate(model.false_positive):
-                    got = np.diff(np.concatenate(([0], np.cumsum(language_bits(mask, i), dtype=np.int64)))[at])
-                    hits[i] = np.maximum((got - n * fp) / (1 - fp), 0) if fp < 1 else 0
+                    hits[i] = np.maximum((hits[i] - n * fp) / (1 - fp), 0) if fp < 1 else 0
                 best, total = hits.max(axis=0), hits.sum(axis=0)
                 pick = np.where(best > 0, hits.argmax(axis=0), model.prior)
                 names = np.where(lettered, np.array(model.languages, object)[pick], UNKNOWN)
@@ -181,7 +189,7 @@ def fold(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, keep: bool = False) -> DataFrame:
     """Learns from the rows of folds 1 to 4 with a lang, and predicts all rows: predict()'s columns and held_out (fold 0).
 
-    A row without id is not learned from, nor held out.
+    A row without id is not learned from, nor held out. An empty table, or one without labels in folds 1 to 4, leaves nothing to learn: all are UNKNOWN.
     """
     learned = docs.filter(fold(id_col) != 0)
     model = train(learned, F.col(text_col), F.col(lang_col), sample)
