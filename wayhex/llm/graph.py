@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import mark, release, written
 
 
 SALTS = 8
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) joined to least (u, m): a hub's edges are dealt out by salt, and what is still large can be split."""
+    """edges (u, v) joined to least (u, m): a hub's edges are dealt out by salt, and as both sides come straight from a shuffle, adaptive execution splits what is still large, by the hub's size."""
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
     each = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(each.hint("merge"), ["u", "_s"]).drop("_s")  # never broadcast: it grows with the data
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, low).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x")).select("x.u", F.col("x.m").alias("v")).filter("u <> v").distinct()
+        before = mark()
         e = written(small, "edges")
+        release(before - 1, before)  # the edges before
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
