@@ -89,3 +89,39 @@ def test_shots_and_clips(spark):
     rows = media.clips(media.store_texts(frame(spark, [(1, text), (2, None)]))).orderBy("doc_id", "clip").collect()
     assert [(r.doc_id, r.first_frame, r.frames) for r in rows] == [(1, 0, 10), (1, 10, 6), (1, 16, 8), (2, 0, 1)]
     assert rows[1].start_s == 10 / 24 and rows[1].end_s == 16 / 24
+
+
+def plain_shots(frames, neighbours=media.NEIGHBOURS, spreads=media.SPREADS, least=media.LEAST_DIFFERENCE):
+    """The first frames of the shots, a difference at a time."""
+    hist = [[sum(v >> 3 == b for v in f) for b in range(media.BINS)] for f in frames]
+    d = [sum(abs(x - y) for x, y in zip(a, b)) / (2 * media.FRAME) for a, b in zip(hist, hist[1:])]
+    out = [0]
+    for t, x in enumerate(d):
+        own = [d[i] for i in range(max(0, t - neighbours), min(len(d), t + neighbours + 1)) if i != t] or [0]
+        mean = sum(own) / len(own)
+        spread = max(sum(y * y for y in own) / len(own) - mean * mean, 0) ** 0.5
+        if x >= least and x > mean + spreads * spread:
+            out.append(t + 1)
+    return out
+
+
+def test_feature_and_clips_of_texts_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120)
+    stored = media.store_texts(docs)
+    rows = {r.doc_id: r for r in media.read_payloads(stored).collect()}
+    found = {}
+    for r in media.clips(stored).orderBy("doc_id", "clip").collect():
+        found.setdefault(r.doc_id, []).append((r.first_frame, r.frames, r.start_s, r.end_s))
+    for d in docs.collect():
+        data = d.text.encode()
+        data += b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        frames = [data[i : i + 576] for i in range(0, len(data), 576)]
+        cuts = plain_shots(frames)
+        assert rows[d.doc_id].feature == "-".join(map(str, cuts)) + f"/{len(frames)}"
+        ends = [*cuts[1:], len(frames)]
+        assert found[d.doc_id] == [(a, b - a, a / media.FPS, b / media.FPS) for a, b in zip(cuts, ends)]
+
+
+def test_clashing_columns(spark):
+    df = frame(spark, [(1, "some text")]).withColumnRenamed("lang", "media").withColumnRenamed("source", "n_bytes")
+    assert [(r.doc_id, r.n_bytes) for r in media.read_payloads(media.store_texts(df)).collect()] == [(1, 9)]

@@ -40,7 +40,7 @@ def spread(docs: DataFrame, text_col: str = "text", site_col: str = "source", si
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", sites: int = SITES, most_lost: float | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, the text without boilerplate lines, and n_lines, n_removed (columns of these names are replaced).
+    """The rows of ``docs``, all columns, the text without boilerplate lines, and n_lines, n_removed (columns of these names are replaced; others may have any names).
 
     With ``most_lost`` a text that would lose over this share of its characters stays whole, with an n_removed of 0.
     A null text stays null and has no lines; an empty one has one blank line, and blank lines stay. Null sites count

@@ -85,6 +85,10 @@ _HEAD = (
 )
 
 
+#: Frames that are encoded or decoded together.
+TOGETHER = 4096
+
+
 def predict_differences(frames: np.ndarray) -> np.ndarray:
     """Differences (n, FRAME) from the left sample; first column: from above; first sample: from 128."""
     x = frames.reshape(-1, HEIGHT, WIDTH).astype(np.int16)
@@ -250,7 +254,8 @@ MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A video for each row: (doc_id, n_bytes, media). A null text is empty; an empty one has one frame of padding.
 
-    Repeated rows give repeated rows, equal texts equal media; an empty table an empty result.
+    Repeated rows give repeated rows, equal texts equal media; an empty table an empty result. Only the id and the text are read, so
+    other columns may have any names. A long text is encoded TOGETHER frames at a time; a file has to stay under 2 GiB.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
 
@@ -262,9 +267,11 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             first = np.concatenate(([0], np.cumsum(n)))
             padded = np.full(first[-1] * FRAME, PAD, np.uint8)
             padded[np.arange(len(data)) + np.repeat(first[:-1] * FRAME - at[:-1], sizes)] = data
-            scans, offsets = encode_scans(padded.reshape(-1, FRAME))
-            scans, offsets = scans.tobytes(), offsets.tolist()
-            images = [_HEAD + scans[i:j] + b"\xff\xd9" for i, j in zip(offsets, offsets[1:])]
+            images = []
+            for lo in range(0, first[-1], TOGETHER):
+                scans, offsets = encode_scans(padded[lo * FRAME : (lo + TOGETHER) * FRAME].reshape(-1, FRAME))
+                scans, offsets = scans.tobytes(), offsets.tolist()
+                images += [_HEAD + scans[i:j] + b"\xff\xd9" for i, j in zip(offsets, offsets[1:])]
             media = [build_avi(images[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(media, pa.binary())], schema=MEDIA)
 
@@ -281,7 +288,9 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             if dht not in tables:
                 tables[dht] = _decode_table(dht)
             own = [i for i, (d, _) in enumerate(images) if d == dht]
-            frames[own] = decode_scans([images[i][1] for i in own], tables[dht])
+            for lo in range(0, len(own), TOGETHER):
+                part = own[lo : lo + TOGETHER]
+                frames[part] = decode_scans([images[i][1] for i in part], tables[dht])
         yield b, [fps for fps, _ in films], frames, np.concatenate(([0], np.cumsum([len(f) for _, f in films]))).tolist()
 
 

@@ -108,7 +108,8 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     """Each text's ids, then end_id, cut into pieces: (doc_id, piece, start, length, ids binary of little-endian uint32).
 
     A null text counts as empty and has one piece, [end_id]. Only texts of more
-    than ``capacity`` ids are cut, at multiples of it. Repeated rows give repeated pieces.
+    than ``capacity`` ids are cut, at multiples of it. Repeated rows give repeated pieces, an empty table none. Only the id and the text are
+    read, so other columns may have any names. Long texts are encoded in windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])

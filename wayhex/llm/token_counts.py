@@ -82,7 +82,8 @@ def by_line(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """Tokens of each line: (doc_id, section, start, end, n_tokens), sections from 0, ends exclusive, in characters.
 
     A line holds its line feed, so that lines make up the text. A null or empty text
-    has one section, of no characters and tokens. Repeated rows give repeated rows.
+    has one section, of no characters and tokens. Repeated rows give repeated rows, an empty table an empty result. Only the id and the text
+    are read, so other columns may have any names. A text is encoded whole, however long it is: its ids take about 10 bytes for each of its own.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
