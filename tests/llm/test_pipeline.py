@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark, sf):
     assert docs.columns == columns and set(kept) == {d for d in before if found[d].lang_pred != "und" and found[d].known >= corpus_pipeline.LEAST_KNOWN}
     assert len(kept) >= 0.98 * sum(any(c.isalpha() for c in r.text or "") for r in before.values())
 
-    want = {d: (t, len(t)) for d, t, _, _ in test_lines.brute([(r.doc_id, r.text, None, r.source) for r in kept.values()], 10)}
+    want = {d: (t, len(t)) for d, t, _, _ in test_lines.brute([(r.doc_id, r.text, None, r.source) for r in kept.values()], 10, 0.5)}
     docs = written(line(spark, docs, sf), "t")
     kept = rows(docs)
     assert docs.columns == columns and {d: (r.text, r.n_chars) for d, r in kept.items()} == want
@@ -75,3 +75,25 @@ def test_rows_without_or_with_repeated_ids_have_verdicts_of_their_own(spark, sf,
     spark.createDataFrame([(1, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     left = leak(spark, frame(spark, [(None, one), (None, two), (7, two), (7, three)]), str(tmp_path))
     assert left.columns == frame(spark, []).columns and texts(left) == sorted([one, three])
+
+
+def test_language_stage_against_plain_rules(spark, sf):
+    """Not by the operator: documents without letters go, those of words that no learned text has go, labelled ones stay."""
+    (_, lang), *_ = corpus_pipeline.STAGES
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.lang and any(c.isalpha() for c in r.text or "")]
+    strange = [(100_000 + i, " ".join(["zqxjk", "qzwvx", "xjqzk", "vwqxz"][j % 4] for j in range(60)), None, "s", 1) for i in range(5)]
+    none = [(200_000, None, None, "s", 0), (200_001, "", None, "s", 0), (200_002, "12 + 34 = 46!", None, "s", 13)]
+    rows = spark.createDataFrame([*[tuple(r) for r in docs], *strange, *none], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    kept = {r.doc_id for r in lang(spark, rows, sf).collect()}
+    assert kept <= {r.doc_id for r in docs}
+    assert len(kept) >= 0.99 * len(docs)
+
+
+def test_what_stages_write_is_deleted(spark, sf):
+    from wayhex.llm import storage
+
+    since = storage.mark()
+    out = corpus_pipeline.run(spark, sf)
+    left = [path.rsplit("/", 1)[1].split("-")[0] for _, path in storage._written[since:]]
+    assert left.count("stage") == 1 and "features" not in left and "rows" not in left
+    assert out.count() > 0
