@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayhex.functions import codec, vectors
+from wayhex.functions import codec, scalars, vectors
 from wayhex.operators import cluster, memory, motion, retention, score, sequential, stats
 from wayhex.operators.geo import positions
 from wayhex.scratch import shared_path
+from wayhex.sources import groups
 
 
 def test_best_rows_keep_what_a_larger_set_needs():
@@ -225,3 +226,23 @@ def test_plans_let_few_rows_leave_a_scan(spark, sf):
     assert "MapInArrow" in plan and "posexplode" not in plan
     labelled = analytics.labelled(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert labelled.count("Aggregate") >= 4
+
+
+def test_models_by_name(spark):
+    df = spark.createDataFrame([("a walk in the park",), ("a park",), ("",), (None,)], "t string")
+    rows = [np.array(r.embedding) for r in groups.embed(df, "t").collect()]
+    assert [len(v) for v in rows] == [64] * 4 and np.allclose([np.linalg.norm(v) for v in rows], [1, 1, 0, 0])
+    assert rows[0] @ rows[1] > 0
+    with pytest.raises(groups.ContractError, match="no model"):
+        groups.embed(df, "t", "other")
+    with pytest.raises(groups.ContractError, match="already"):
+        groups.register_model("words", groups.embed_texts)
+    with pytest.raises(ValueError, match="already"):
+        codec.register("raw", codec.CODECS["raw"])
+
+
+def test_the_tangent_plane(spark):
+    df = spark.createDataFrame([(51.001, -0.002)], "lat double, lng double")
+    x, y = scalars.local_xy(F.col("lat"), F.col("lng"), F.lit(51.0), F.lit(0.0))
+    got = df.select(x.alias("x"), y.alias("y")).first()
+    assert abs(got.y - 111.195) < 0.1 and abs(got.x + 2 * 111.195 * math.cos(math.radians(51))) < 0.1

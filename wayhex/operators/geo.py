@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import cells
 from ..functions.cells import DEG, EARTH_M
 from ..functions.scalars import hash60, haversine_km
 
@@ -172,10 +171,6 @@ def course(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("bearing", F.degrees(F.atan2(dx, dy))).drop("_moved", "_from", "_p")
 
 
-def hex_cells(df: DataFrame, grid: cells.HexGrid, res: int) -> DataFrame:
-    return df.withColumn("cell", grid.encode(F.col("lat"), F.col("lng"), res))
-
-
 def inventory(tracks: DataFrame, counts: list[DataFrame], key: str) -> DataFrame:
     """Sessions with their tracks' figures, rank by path length and tier, and counts (key, …) from other tables (missing: 0)."""
     out = tracks.withColumn("tier", mobility_tier(F.col("metres")))

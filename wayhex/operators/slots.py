@@ -49,8 +49,3 @@ def last_slot(df: DataFrame, window_sec: float, ts: str = "ts", order: str = "se
 def event_slots(df: DataFrame, window_sec: float, ts: str = "ts", out: str = "slot") -> DataFrame:
     """Adds the epoch-aligned slot floor(ts / window_sec)."""
     return df.withColumn(out, F.floor(F.col(ts) / window_sec).cast("long"))
-
-
-def first_slot(last: int, n: int, capacity: int) -> int:
-    """The first slot of a window of n prior slots."""
-    return last - min(max(n, 0), capacity - 1)

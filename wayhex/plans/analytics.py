@@ -9,7 +9,7 @@ from ..operators import geo, memory, retention, score, sketch, stats
 from ..operators.slots import event_slots
 from . import core, data
 from .core import recall_sql
-from .data import CFG, GRID, LIVE, OBS, QUE, VEC, agg_sql, cell_sql, hash_sql, mem_sql
+from .data import CFG, GRID, OBS, QUE, VEC, cell_sql, hash_sql, mem_sql
 from .registry import query
 
 M = 128
