@@ -19,3 +19,17 @@ def test_bootstrap_draws_are_dealt_and_not_broadcast(spark):
     assert first.a_lo < first.a_mean < first.a_hi
     made = stats.draws(rows.groupBy().count().withColumnRenamed("count", "_n"), [], 40)
     assert made.rdd.getNumPartitions() == 40 and made.count() == 40 * 50
+
+
+def test_paired_bootstrap_equals_brute_force(spark):
+    from hashlib import md5
+
+    import numpy as np
+
+    a, b = [float(i * i % 17) for i in range(30)], [float(i % 5) for i in range(30)]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(a, b))], "id long, a double, b double")
+    out = stats.paired_bootstrap(rows, "id", "a", "b", 25)
+    assert not [x for x in broadcasts(out) if "Generate" in x]
+    d = np.array(a) - np.array(b)
+    means = [d[[int(md5(f"42:{k}:{i}".encode()).hexdigest()[:15], 16) % 30 for i in range(1, 31)]].mean() for k in range(1, 26)]
+    assert np.allclose(out.first(), (d.mean(), *np.percentile(means, [2.5, 97.5])), atol=1e-12)
