@@ -58,3 +58,26 @@ def test_last_seen_looks_up_each_cell_once(spark):
         found = sorted((-w.t_max, -w["count"], w.cell) for r in near if r.point_id == p for w in whole if w.cell == r.cell)
         want |= {(p, i + 1, cell, len(found)) for i, (_, _, cell) in enumerate(found[:3])}
     assert {(r.point_id, r.rank, r.cell, r.total_found) for r in out.collect()} == want
+
+
+def test_course_from_the_row_before(spark):
+    from wayhex.operators import geo
+
+    rows = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1), (2, 1.0, 1.0, 0.0, 1), (3, 2.0, 1.0, 0.0, 1), (4, 3.0, 1.0, 1.0, 1)], "seq long, ts double, lat double, lng double, session long")
+    course = lambda **how: [r.bearing for r in geo.course(rows, "session", **how).orderBy("seq").collect()]
+    assert course(distinct=False) == [None, 0.0, 0.0, 90.0] and course() == [None, 0.0, 0.0, 90.0]
+    back = rows.withColumn("lat", -rows.lat)
+    assert [r.bearing for r in geo.course(back, "session", distinct=False).orderBy("seq").collect()] == [None, 180.0, 0.0, 90.0]
+    assert [r.bearing for r in geo.course(back, "session").orderBy("seq").collect()] == [None, 180.0, 180.0, 90.0]
+
+
+def test_course_query_equals_its_sql_where_a_session_stands_still(spark, tmp_path):
+    import duckdb
+
+    from wayhex.plans.all import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, 1::BIGINT AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM (SELECT unnest([0, 1, 1001, 2001]::BIGINT[]) AS i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = {r.seq: r.bearing for r in QUERIES["course_over_ground"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(ORACLE_SQL["course_over_ground"]).fetchall()) and got[1001] == got[2001] == 0.0

@@ -160,15 +160,17 @@ def mobility_tier(metres: Column) -> Column:
     return F.when(metres >= 50, "street").when(metres >= 15, "building").when(metres >= 5, "room").otherwise("sub-room")
 
 
-def course(df: DataFrame, key: str) -> DataFrame:
-    """Adds bearing (degrees from north) from the last distinct place of the key before each row; null at the first."""
+def course(df: DataFrame, key: str, distinct: bool = True) -> DataFrame:
+    """Adds bearing (degrees from north) from the last distinct place of the key before each row, or (not ``distinct``) from the row before, 0 where they fall together; null at the first."""
     w = Window.partitionBy(key).orderBy("ts", "seq")
-    moved = F.coalesce((F.col("lat") != F.lag("lat").over(w)) | (F.col("lng") != F.lag("lng").over(w)), F.lit(False))
-    point = F.struct(F.lag("lat").over(w).alias("a"), F.lag("lng").over(w).alias("g"))
-    prev = F.last(F.col("_from"), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("_moved", moved).withColumn("_from", F.when(F.col("_moved"), point)).withColumn("_p", prev)
+    before = F.struct(F.lag("lat").over(w).alias("a"), F.lag("lng").over(w).alias("g"))
+    if distinct:
+        moved = F.coalesce((F.col("lat") != F.lag("lat").over(w)) | (F.col("lng") != F.lag("lng").over(w)), F.lit(False))
+        df = df.withColumn("_from", F.when(moved, before))
+        before = F.last(F.col("_from"), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = df.withColumn("_p", before)
     dy, dx = F.col("lat") - F.col("_p.a"), (F.col("lng") - F.col("_p.g")) * F.cos(F.col("lat") * DEG)
-    return out.withColumn("bearing", F.degrees(F.atan2(dx, dy))).drop("_moved", "_from", "_p")
+    return out.withColumn("bearing", F.degrees(F.atan2(dx, dy))).drop("_from", "_p")
 
 
 def inventory(tracks: DataFrame, counts: list[DataFrame], key: str) -> DataFrame:
