@@ -111,3 +111,11 @@ def test_ranks_of_places_equal_brute_force_in_blocks_of_any_size(spark):
             auc = sum((x > y) + 0.5 * (x == y) for x in pos for y in neg) / (len(pos) * len(neg))
             want[qid] = (len(pos), len(neg), round(auc, 9), sum(s > max(pos) or (not p and s == max(pos)) for s, p, _ in rows))
         assert got == want and len(want) == 10
+
+
+def test_ranking_makes_no_row_for_a_pair_of_vector_and_question(spark, sf):
+    from wayhex.plans.all import QUERIES
+
+    for name in ("hit_at_k_adversarial", "cross_session_auc"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode" not in plan and "ArrowEvalPython" not in plan
