@@ -119,3 +119,24 @@ def test_ranking_makes_no_row_for_a_pair_of_vector_and_question(spark, sf):
     for name in ("hit_at_k_adversarial", "cross_session_auc"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "posexplode" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_votes_equal_brute_force_and_no_frame_meets_an_interval(spark):
+    import random
+
+    from wayhex.operators import score
+
+    rng = random.Random(3)
+    frames = [(i, float(rng.randrange(60)), rng.choice([None, 5, 6, 7])) for i in range(300)]
+    spans = [(q, 10.0 * k + q, 10.0 * k + q + rng.randrange(9)) for q in range(6) for k in range(5)]
+    f, t = spark.createDataFrame(frames, "seq long, ts double, cell long"), spark.createDataFrame(spans, "qid long, start double, end double")
+    got = {(r.qid, r.cell): (r.n, r["first"]) for r in score._votes(f, t).collect()}
+    want = {}
+    for q in range(6):
+        for c in (None, 5, 6, 7):
+            seqs = [s for s, ts, cell in frames if cell == c and any(p == q and a <= ts <= b for p, a, b in spans)]
+            if seqs:
+                want[q, c] = (len(seqs), min(seqs))
+    assert got == want
+    plan = score.question_strata(t, f, 5.0, 10.0)._jdf.queryExecution().executedPlan().toString()
+    assert "_bin" not in plan

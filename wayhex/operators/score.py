@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,17 +88,79 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     return rows.groupBy("qid", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_i")
 
 
+def _votes(frames: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(qid, cell, n, first): the frames (seq, ts, cell) of each cell in a question's intervals, which don't meet, and their least seq.
+
+    Nothing pairs frames with intervals: a task gets some cells' frames, in order of time, and all intervals, batch by batch; ranks of an
+    interval's ends give the count, minima over powers of two of rows the least seq.
+    """
+    blocks = 4 * frames.sparkSession.sparkContext.defaultParallelism
+    none = F.lit(None)
+    left = frames.filter("ts is not null").select(F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("_b"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("i"), F.col("cell").cast("long").alias("cell"), F.col("ts").cast("double").alias("a"), none.cast("double").alias("b"))
+    right = intervals.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"), F.lit(1).alias("kind"), F.col("qid").cast("long").alias("i"), none.cast("long").alias("cell"), F.col("start").cast("double").alias("a"), F.col("end").cast("double").alias("b"))
+    rows = left.unionAll(right).repartition(blocks, "_b").sortWithinPartitions("_b", "kind", "cell", "i", "a")
+    names = ["qid", "cell", "n", "first"]
+
+    def tables(kept: list) -> list[tuple]:
+        """Of each cell: its times in order, and the least seq of 1, 2, 4… rows from each on."""
+        cell, seq, ts, null = (np.concatenate(x) for x in zip(*kept))
+        out = []
+        by = np.lexsort((ts, cell, null))
+        cell, seq, ts, null = cell[by], seq[by], ts[by], null[by]
+        cuts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (null[1:] != null[:-1]))))
+        for i, j in zip(cuts, [*cuts[1:], len(cell)]):
+            least = [seq[i:j]]
+            while 2 << (len(least) - 1) <= j - i:
+                step = 1 << (len(least) - 1)
+                least.append(np.minimum(least[-1][:-step], least[-1][step:]))
+            out.append((None if null[i] else int(cell[i]), ts[i:j], least))
+        return out
+
+    def counted(cells: list[tuple], qid: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.concatenate(([True], qid[1:] != qid[:-1])))
+        for cell, ts, least in cells:
+            lo, hi = np.searchsorted(ts, start, "left"), np.searchsorted(ts, end, "right")
+            size = hi - lo
+            n = np.add.reduceat(size, cuts)
+            low = np.full(len(size), np.iinfo(np.int64).max)
+            level = np.frexp(np.maximum(size, 1))[1] - 1
+            for k, row in enumerate(least):
+                at = np.flatnonzero((level == k) & (size > 0))
+                low[at] = np.minimum(row[lo[at]], row[hi[at] - (1 << k)])
+            found = n > 0
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(qid[cuts][found]), pa.array([cell] * int(found.sum()), pa.int64()), pa.array(n[found].astype(np.int64)), pa.array(np.minimum.reduceat(low, cuts)[found])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, kept, cells = None, [], None
+        for b in batches:
+            at, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])))) if len(at) else []
+            for i, j in zip(cuts, [*cuts[1:], len(at)]):
+                if at[i] != block:
+                    block, kept, cells = at[i], [], None
+                part = b.slice(i, j - i)
+                if kind[i] == 0:
+                    kept.append((pc.fill_null(part.column(3), 0).to_numpy(), part.column(2).to_numpy(), part.column(4).to_numpy(), pc.is_null(part.column(3)).to_numpy(zero_copy_only=False)))
+                elif kept:
+                    cells = tables(kept) if cells is None else cells
+                    yield from counted(cells, *(part.column(k).to_numpy() for k in (2, 4, 5)))
+
+    # a question whose intervals lie in two batches gives two rows
+    out = rows.mapInArrow(run, "qid long, cell long, n long, first long")
+    return out.groupBy("qid", "cell").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def question_strata(truth: DataFrame, frames: DataFrame, gap_sec: float, bin_sec: float) -> DataFrame:
     """Per question of truth (qid, start, end) over frames (seq, ts, cell): target cell, support, exposure, visits, age and strata.
 
     The target cell is the most frequent one in the intervals (first seen wins a tie), or without any frame there the
-    one of the frame nearest to the intervals' mean midpoint.
+    one of the frame nearest to the intervals' mean midpoint. Ids and cells are longs. ``bin_sec`` is no longer used: no frame meets an interval.
     """
-    from .align import nearest, within
+    from .align import nearest
 
     session_end = frames.agg(F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("frames"))
-    inside = within(frames.select("seq", "ts", "cell"), merge_intervals(truth), "ts", bin_sec).select("qid", "seq", "cell")
-    votes = inside.groupBy("qid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    votes = _votes(frames, merge_intervals(truth))
     modal = votes.groupBy("qid").agg(F.max_by("cell", F.struct("n", -F.col("first"))).alias("modal"), F.sum("n").alias("support"))
     spans = truth.groupBy("qid").agg(F.avg((F.col("start") + F.col("end")) / 2).alias("ts"), F.max("end").alias("last_end"), F.min("start").alias("first_start"))
     near = nearest(spans, frames.select("ts", "cell"), "ts", ["cell"])
