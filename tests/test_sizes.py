@@ -155,3 +155,17 @@ def test_narrations_keep_every_row_whatever_the_files(spark, sf):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert got == set(con.execute(f"SELECT session, text, start FROM ({ORACLE_SQL['read_narrations']})").fetchall())
+
+
+def test_file_names_are_not_a_task_for_a_few_files(spark, tmp_path):
+    from wayhex.sources import tracks
+
+    for i in range(40):
+        (tmp_path / f"session={i}" / "kind=track").mkdir(parents=True)
+        (tmp_path / f"session={i}" / "kind=track" / "a.txt").write_text("x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        found = tracks.file_names(spark, f"file://{tmp_path}", r"session=[0-9]+", r"kind=([a-z]+)")
+        assert found.rdd.getNumPartitions() <= 4 and {tuple(r) for r in found.collect()} == {(f"session={i}", "track") for i in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

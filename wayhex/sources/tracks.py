@@ -151,8 +151,12 @@ def discover(spark: SparkSession, root: str, needed: list[str]) -> DataFrame:
 
 
 def file_names(spark: SparkSession, root: str, sequence: str, name: str) -> DataFrame:
-    """(sequence, name) of the files under root, by regular expressions of their paths (the first group of ``name``); contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    """(sequence, name) of the files under root, by regular expressions of their paths (the first group of ``name``); contents aren't read.
+
+    The names are those that Spark's listing holds: a scan would open as many tasks as a few files each make.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).inputFiles()
+    files = spark.createDataFrame([(x,) for x in listed], "path string")
     return files.select(F.regexp_extract("path", sequence, 0).alias("sequence"), F.regexp_extract("path", name, 1).alias("name"))
 
 
