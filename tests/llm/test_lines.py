@@ -59,3 +59,13 @@ def test_an_article_under_long_headers_loses_them(spark):
 
 def test_empty(spark):
     assert got(lines.remove_boilerplate(frame(spark, []))) == []
+
+
+def test_texts_go_through_the_join_once(spark):
+    docs = frame(spark, [(1, "a\nb", "en", "x"), (2, None, "en", "y")])
+    plan = lines.remove_boilerplate(docs)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    left = plan.children().head().output()
+    kinds = [left.apply(i).dataType().catalogString() for i in range(left.length())]
+    assert sum(k.count("string") for k in kinds) == sum(kind == "string" for _, kind in docs.dtypes), kinds

@@ -48,14 +48,16 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     as long as an array of its lines can be.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = docs.select(F.struct(*keep).alias("_r"), F.xxhash64(*[F.col(c) for c in (id_col, site_col, text_col)]).alias("_rid"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.struct(*keep).alias("_r"), F.xxhash64(*[F.col(c) for c in (id_col, site_col, text_col)]).alias("_rid"))
+    read = F.col("_r")[text_col].cast("string")
     bad = written(spread(docs, text_col, site_col, sites).distinct(), "boilerplate")
-    occurs = rows.select("_rid", F.explode(F.array_distinct(F.transform(lines_of(F.col("_text")), lambda x: F.trim(x)))).alias("_line")).filter("_line <> ''").select("_rid", F.xxhash64("_line").alias("h"))
+    occurs = rows.select("_rid", F.explode(F.array_distinct(F.transform(lines_of(read), lambda x: F.trim(x)))).alias("_line")).filter("_line <> ''").select("_rid", F.xxhash64("_line").alias("h"))
     mine = occurs.join(bad, "h").groupBy("_rid").agg(F.collect_set("h").alias("_bad"))
     all_lines = lines_of(F.col("_text"))
     good = F.when(F.col("_bad").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x)))))
     size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.char_length(x))
-    out = rows.join(mine, "_rid", "left").withColumn("_all", all_lines).withColumn("_good", good)
+    out = rows.join(mine, "_rid", "left").withColumn("_text", read)  # after the join: a text goes through it once
+    out = out.withColumn("_all", all_lines).withColumn("_good", good)
     whole = F.lit(False) if most_lost is None else size(F.col("_all")) - size(F.col("_good")) > most_lost * size(F.col("_all"))
     out = out.withColumn("_kept", F.when(whole, F.col("_all")).otherwise(F.col("_good")))
     n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_all"))
