@@ -79,6 +79,34 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@pytest.mark.parametrize("chunk", [graph.CHUNK, 7])
+def test_components_take_few_rounds(spark, monkeypatch, chunk):
+    """A round writes two tables: a forest of stars takes none but the first two, a long path whose ids are in no order few."""
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, name, f=graph.written: made.append(name) or f(df, name))
+    monkeypatch.setattr(graph, "CHUNK", chunk)
+    hubs = spark.createDataFrame([(i, i % 10) for i in range(10, 500)], "u long, v long").repartition(5)
+    assert {(x.v, x.root) for x in graph.components(hubs).collect()} == {(i, i % 10) for i in range(10, 500)}
+    assert len(made) == 2 or chunk < 10
+    made.clear()
+    order = random.Random(9).sample(range(400), 400)
+    path = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long").repartition(3)
+    assert sorted((x.v, x.root) for x in graph.components(path).collect()) == [(i, 0) for i in range(1, 400)]
+    assert len(made) <= 4 or chunk < 10
+
+
+def test_stars_of_a_task():
+    r = random.Random(5)
+    for _ in range(40):
+        edges = [(r.randint(-60, 60), r.randint(-60, 60)) for _ in range(r.randint(0, 90))]
+        root = {v: v for e in edges for v in e}
+        for _ in range(100):
+            for u, v in edges:
+                root[u] = root[v] = min(root[u], root[v])
+        u, v = graph.stars(*np.array(edges, np.int64).reshape(-1, 2).T)
+        assert dict(zip(u.tolist(), v.tolist())) == {x: k for x, k in root.items() if x != k} and len(set(u.tolist())) == len(u)
+
+
 def chain(n, size=60):
     """Texts of which each differs from the one before by one word: far ends share nothing."""
     w = [f"c{i}" for i in range(size)]
