@@ -169,3 +169,57 @@ def test_file_names_are_not_a_task_for_a_few_files(spark, tmp_path):
         assert found.rdd.getNumPartitions() <= 4 and {tuple(r) for r in found.collect()} == {(f"session={i}", "track") for i in range(40)}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def files_under(root) -> list[str]:
+    return sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file())
+
+
+def test_discovery_makes_files_without_a_program_for_each_and_equals_its_sql_on_odd_sessions(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from wayhex.plans import files
+    from wayhex.plans.all import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for users in ([1, 2, 4, 4, 8, -5, -8, None, 10**6 + 1], []):
+        root = tmp_path / f"shared{len(users)}"
+        con.execute("CREATE OR REPLACE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+        for i, u in enumerate(users):
+            con.execute("INSERT INTO events VALUES (?, TIMESTAMP '2024-01-01', ?, 'view', 1.0, '{}')", [i, u])
+        con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+        monkeypatch.setattr(files, "shared_path", lambda spark, name: f"file://{root}/{name}")
+        got = {tuple(r) for r in QUERIES["discover_sequences"](spark, str(tmp_path)).collect()}
+        assert got == set(con.execute(ORACLE_SQL["discover_sequences"]).fetchall()) and len(got) == 2
+        # a .crc beside a file is Hadoop's writer, which starts a program for each
+        made = [x.split("/", 1)[1] for x in files_under(root)]
+        assert made == sorted(f"session={u}/{k}.txt" for u in set(users) - {None} for k in ("track", "extra") if k == "track" or u % 4)
+
+
+def test_folders_are_written_and_listed_alike_on_a_file_system_that_only_hadoop_knows(spark, tmp_path):
+    from wayhex.scratch import local_path
+    from wayhex.sources import sinks, tracks
+
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.folders.link./in", f"file://{tmp_path}")
+    rows = spark.sql("SELECT id AS session, explode(if(id % 2 = 0, array('a', 'b'), array('b'))) AS kind, if(id = 3, null, 'x') AS value FROM range(40)")
+    found = []
+    for at in (f"file://{tmp_path}/plain", "viewfs://folders/in/far"):
+        assert (local_path(spark, at) is None) == at.startswith("viewfs")
+        sinks.write_folders(rows, "session", "kind", at)
+        found.append({tuple(r) for r in tracks.file_names(spark, at, r"session=[0-9]+", r"[/=]([a-z]+)(?:/part-[^/]*)?[.]txt$").collect()})
+    assert found[0] == found[1] == {(f"session={i}", k) for i in range(40) for k in "ab" if k == "b" or i % 2 == 0}
+    assert (tmp_path / "plain/session=3/b.txt").read_text() == "\n" and (tmp_path / "plain/session=4/b.txt").read_text() == "x\n"
+
+
+def test_file_names_of_hidden_nested_and_loose_files(spark, tmp_path):
+    from wayhex.sources import tracks
+
+    for x in ("a b/c/d.txt", "a b/_x.txt", "a b/.y", ".h/z.txt", "_t/z.txt", "_k=1/z.txt", "loose.txt", "u/é+%.txt"):
+        (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / x).write_text("x")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.names.link./in", f"file://{tmp_path}")
+    own = [{r["name"] for r in tracks.file_names(spark, at, "x", "(?:/|^)([^/]+/[^/]+)$").collect()} for at in (f"file://{tmp_path}", "viewfs://names/in")]
+    assert own[0] == {"c/d.txt", "_k=1/z.txt", f"{tmp_path.name}/loose.txt", "u/é+%.txt"}
+    assert own[1] == {"c/d.txt", "_k=1/z.txt", "in/loose.txt", "u/é+%.txt"}

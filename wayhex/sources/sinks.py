@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import hex_string
 from ..functions.scalars import first_choice
+from ..scratch import local_path
 
 VERSION = 1
 
@@ -65,3 +71,32 @@ def promote(preds: DataFrame, picks: DataFrame) -> DataFrame:
     out = preds.join(picks, "qid", "left")
     order = Window.partitionBy("qid").orderBy((F.col("rank") != F.coalesce("pick", F.lit(-1))).cast("int"), "rank")
     return out.withColumn("rank", F.row_number().over(order)).drop("pick")
+
+
+def write_folders(df: DataFrame, folder: str, name: str, path: str) -> None:
+    """A text file with the ``value`` of each row: path/folder=…/….txt by the values of the columns ``folder`` and ``name``; no pair is there twice, none is null.
+
+    Rows are dealt evenly: a few bytes a file would all be one task's. On a local or mounted file system tasks make the files by themselves,
+    as Hadoop starts a program for the rights of each file and folder where it has no native library; a task that runs again writes the
+    same names. On others Spark's writer makes path/folder=…/name=…/part-….txt.
+    """
+    spark = df.sparkSession
+    rows = df.select(folder, name, "value").repartition(4 * spark.sparkContext.defaultParallelism, folder)
+    root = local_path(spark, path)
+    if root is None:
+        # tasks commit their own files: the driver moves none
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(folder, name).text(path)
+        return
+    os.makedirs(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, file, value in zip(*(c.to_pylist() for c in b.columns)):
+                at = os.path.join(root, f"{folder}={own}")
+                with contextlib.suppress(FileExistsError):
+                    os.mkdir(at)
+                with open(os.path.join(at, f"{file}.txt"), "wb") as f:
+                    f.write(f"{'' if value is None else value}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.cells import DEG
 from ..functions.scalars import metres_to_degrees
 from ..operators.geo import near_median
+from ..scratch import local_path
 
 TINY = 1e-300
 GPS = "array<struct<stream_id string, samples array<struct<timestamp double, utc_time_ms double, latitude double, longitude double>>>>"
@@ -153,13 +159,38 @@ def discover(spark: SparkSession, root: str, needed: list[str]) -> DataFrame:
 def file_names(spark: SparkSession, root: str, sequence: str, name: str) -> DataFrame:
     """(sequence, name) of the files under root, by regular expressions of their paths (the first group of ``name``); contents aren't read.
 
-    The names are those that Spark's listing holds: a scan would open as many tasks as a few files each make.
+    Hidden files and folders are left out, as Spark does. On a local or mounted file system the driver lists the entries of root only, and
+    tasks what is below them. On others the names are those that Spark's listing holds: a scan would open as many tasks as a few files each make.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).inputFiles()
-    files = spark.createDataFrame([(x,) for x in listed], "path string")
+    top = local_path(spark, root)
+    if top is None:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).inputFiles()
+        files = spark.createDataFrame([(unquote(x),) for x in listed], "path string")
+    else:
+        hidden = lambda x: x.startswith(".") or x.startswith("_") and "=" not in x or x.endswith("._COPYING_")
+
+        def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = []
+                for x in b.column(0).to_pylist():
+                    at = os.path.join(top, x)
+                    if not os.path.isdir(at):
+                        found.append(at)
+                        continue
+                    for folder, folders, names in os.walk(at, onerror=_fail, followlinks=True):
+                        folders[:] = [f for f in folders if not hidden(f)]
+                        found += [os.path.join(folder, f) for f in names if not hidden(f)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+        entries = [x for x in os.listdir(top) if not hidden(x)]
+        files = spark.createDataFrame(pa.table({"entry": pa.array(entries, pa.string())})).repartition(spark.sparkContext.defaultParallelism).mapInArrow(below, "path string")
     return files.select(F.regexp_extract("path", sequence, 0).alias("sequence"), F.regexp_extract("path", name, 1).alias("name"))
 
 
+def _fail(error: OSError) -> None:
+    raise error
+
+
 def probe(files: DataFrame, needed: list[str]) -> DataFrame:
     """(sequence, files, state) of (sequence, name): "ok", or the first needed name that has no file."""
     has = [F.bool_or(F.col("name") == n).alias(f"_{i}") for i, n in enumerate(needed)]
